@@ -20,12 +20,19 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.tables: dict[str, DataFrame] = {}
+        self.relations: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table; its files are listed once, however often it is used."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.tables[name]
 
     def relation(self, name: str) -> DataFrame:
-        return relation(self.spark, self.sf_dir, name)
+        if name not in self.relations:
+            self.relations[name] = relation(self.spark, self.table, name)
+        return self.relations[name]
 
     def products(self) -> DataFrame:
         return ops.product_details(
@@ -59,7 +66,7 @@ class Inputs:
 
 
 def normalised_units(i: Inputs) -> DataFrame:
-    return ops.normalise_units(i.relation("unit_samples"), "number", "unit")
+    return ops.normalise_units(i.relation("unit_samples"), ("number", "unit"))
 
 
 def normalised_products(i: Inputs) -> DataFrame:
@@ -72,7 +79,7 @@ def normalised_adqs(i: Inputs) -> DataFrame:
 
 def doses(i: Inputs) -> DataFrame:
     return i.relation("adq_sheet").select(
-        "bnf_code", "bnf_name", dose_from_name(F.col("bnf_name")).alias("doses")
+        "bnf_code", "bnf_name", dose_from_name("bnf_name").alias("doses")
     )
 
 
@@ -81,7 +88,7 @@ def strengths(i: Inputs) -> DataFrame:
         "bnf_code",
         "bnf_name",
         "adq_denominator",
-        strength_from_name(F.col("bnf_name"), F.col("adq_denominator")).alias("strength"),
+        strength_from_name("bnf_name", "adq_denominator").alias("strength"),
     )
 
 
@@ -133,7 +140,7 @@ def date_labels(i: Inputs) -> DataFrame:
         i.table("lineitem")
         .select(day.alias("run_date"))
         .distinct()
-        .withColumn("label", run_date_label(F.col("run_date")))
+        .withColumn("label", run_date_label("run_date"))
     )
 
 

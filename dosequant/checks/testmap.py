@@ -6,6 +6,8 @@ must find no partner get a key without one instead of being filtered out.
 Table names stand in braces and are filled with DataFrames or view names.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 RELATIONS = {
@@ -110,14 +112,10 @@ RELATIONS = {
 TABLES = ("part", "lineitem")
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A relation of `RELATIONS` over the Parquet tables in `sf_dir`."""
+def relation(spark: SparkSession, table: Callable[[str], DataFrame], name: str) -> DataFrame:
+    """A relation of `RELATIONS`; `table` gives the test tables by name."""
     text = RELATIONS[name]
-    tables = {
-        table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        for table in TABLES
-        if "{" + table + "}" in text
-    }
+    tables = {t: table(t) for t in TABLES if "{" + t + "}" in text}
     df = spark.sql(text, **tables)
     return df.withColumnRenamed("label", "desc") if name.startswith("lookup") else df
 

@@ -1,4 +1,4 @@
-"""Rules as Spark column expressions."""
+"""Rules as Spark column expressions, given the names of the columns they read."""
 
 from dosequant.functions.doses import dose_from_name, strength_from_name
 from dosequant.functions.quantity import (
@@ -7,19 +7,15 @@ from dosequant.functions.quantity import (
     quantity_unit,
 )
 from dosequant.functions.text import (
-    as_number,
     file_name_of_url,
     null_if_token,
     rounded_to_tenth,
     run_date_label,
-    stripped,
 )
-from dosequant.functions.units import clean_unit, normal_unit, scaled_number
+from dosequant.functions.units import normal_unit, scaled_number
 
 __all__ = [
     "adq_per_quantity",
-    "as_number",
-    "clean_unit",
     "dose_from_name",
     "file_name_of_url",
     "normal_unit",
@@ -30,5 +26,4 @@ __all__ = [
     "run_date_label",
     "scaled_number",
     "strength_from_name",
-    "stripped",
 ]

@@ -1,60 +1,58 @@
-"""The two rule ladders: unit of a prescribed quantity, and ADQs per quantity."""
+"""The two rule ladders: unit of a prescribed quantity, and ADQs per quantity.
+
+In both, the first rule that applies decides.
+"""
 
 from pyspark.sql import Column, functions as F
 
 from dosequant.fixed_values import SOLID_FORMS
-from dosequant.functions.doses import strength_from_name
+from dosequant.functions.doses import strength_sql
+from dosequant.functions.text import sql_list
 
 
 def quantity_unit() -> Column:
     """The unit in which a product's quantity is recorded.
 
     Reads squ, form, form_indicator, form_units and unit_of_measure. A known
-    standard quantity unit decides; otherwise the form of the product does.
+    standard quantity unit decides; otherwise the form of the product does. A
+    discrete form without a unit of measure has no known unit.
     """
-    squ, form, indicator = F.col("squ"), F.col("form"), F.col("form_indicator")
-    measure = F.col("unit_of_measure")
-    return (
-        F.when(squ != "", squ)
-        .when((indicator == "Not applicable") | (form == "Not applicable"), F.lit(None))
-        .when(form.isin(*SOLID_FORMS), F.lit("g"))
-        .when(F.col("form_units") == "litre", F.lit("ml"))
-        # Null-safe: a discrete form without a measure has no known unit.
-        .when(
-            (indicator == "Discrete") & ~measure.eqNullSafe(F.lit("spoonful")), measure
-        )
-        .otherwise(F.lit("ml"))
-    )
+    return F.expr(f"""
+        CASE
+          WHEN squ <> '' THEN squ
+          WHEN form_indicator = 'Not applicable' OR form = 'Not applicable' THEN NULL
+          WHEN form IN ({sql_list(SOLID_FORMS)}) THEN 'g'
+          WHEN form_units = 'litre' THEN 'ml'
+          WHEN form_indicator = 'Discrete' AND NOT unit_of_measure <=> 'spoonful'
+            THEN unit_of_measure
+          ELSE 'ml'
+        END""")
+
+
+# ADQs given in doses mean units; a missing ADQ unit is blank.
+ADQ_UNIT = "coalesce(adq_denominator, '')"
+ADQ_UNIT_AS_UNIT = f"replace({ADQ_UNIT}, 'dose', 'unit')"
+
+# Patches dosed per hour cannot be told from a weight. Blank ADQ units mean the
+# quantity's own unit. For compounds, the strength that counts is only in the
+# name, next to the unit as the sheet has it.
+QUANTITY_IN_ADQ_UNITS = f"""
+    CASE
+      WHEN denominator_unit_of_measure = 'hour' AND {ADQ_UNIT} = 'g' THEN NULL
+      WHEN {ADQ_UNIT_AS_UNIT} IN ('', quantity_denominator)
+        THEN CASE WHEN unit_of_measure = 'unit dose' THEN form_size ELSE 1D END
+      WHEN quantity_denominator = 'unit' AND ingredient_count = 1
+        THEN CASE WHEN {ADQ_UNIT_AS_UNIT} = numerator_unit_of_measure
+                  THEN coalesce(form_size, 1D) * numerator ELSE numerator END
+      WHEN quantity_denominator = 'unit'
+        THEN {strength_sql("bnf_name", ADQ_UNIT)}
+      ELSE numerator
+    END"""
 
 
 def quantity_in_adq_units() -> Column:
     """How much of the ADQ's own unit one prescribed unit holds, before doses."""
-    raw_unit = F.coalesce(F.col("adq_denominator"), F.lit(""))
-    # ADQs given in doses mean units.
-    adq_unit = F.replace(raw_unit, F.lit("dose"), F.lit("unit"))
-    quantity_unit = F.col("quantity_denominator")
-    numerator, form_size = F.col("numerator"), F.col("form_size")
-
-    same_unit = (adq_unit == "") | (adq_unit == quantity_unit)
-    in_units = quantity_unit == "unit"
-    single = in_units & (F.col("ingredient_count") == 1)
-    return (
-        # Patches dosed per hour cannot be told from a weight.
-        F.when(
-            (F.col("denominator_unit_of_measure") == "hour") & (raw_unit == "g"),
-            F.lit(None),
-        )
-        .when(same_unit & (F.col("unit_of_measure") == "unit dose"), form_size)
-        .when(same_unit, F.lit(1.0))
-        .when(
-            single & (adq_unit == F.col("numerator_unit_of_measure")),
-            F.coalesce(form_size, F.lit(1.0)) * numerator,
-        )
-        .when(single, numerator)
-        # Compounds: the strength that counts is only in the name.
-        .when(in_units, strength_from_name(F.col("bnf_name"), raw_unit))
-        .otherwise(numerator)
-    )
+    return F.expr(QUANTITY_IN_ADQ_UNITS)
 
 
 def adq_per_quantity() -> Column:
@@ -63,8 +61,6 @@ def adq_per_quantity() -> Column:
     NULL where the rules give none, where the amount is 0 and where the sheet's
     ADQ value is 0.
     """
-    amount = quantity_in_adq_units()
-    doses = F.col("dose_multiplier").try_cast("double")
-    return F.try_divide(
-        F.nullif(amount, F.lit(0.0)) * doses, F.col("adq_value").try_cast("double")
-    )
+    return F.expr(f"""
+        try_divide(nullif({QUANTITY_IN_ADQ_UNITS}, 0D) * try_cast(dose_multiplier AS double),
+                   try_cast(adq_value AS double))""")

@@ -1,51 +1,64 @@
-"""Text, number and rounding expressions shared by the operators."""
+"""Text, number and rounding expressions shared by the operators.
+
+Rules are written as SQL expressions: a rule reads as a whole, and a plan is
+built with one call per rule instead of one per operator in it.
+"""
 
 from pyspark.sql import Column, functions as F
 
 from dosequant.fixed_values import NULL_TOKENS, RUN_DATE_FORMAT, WHITESPACE
 
 
-def stripped(column: Column) -> Column:
+def sql_list(values) -> str:
+    return ", ".join("'" + value.replace("'", "''") + "'" for value in values)
+
+
+def stripped_sql(text: str) -> str:
     """The text without surrounding white space, Unicode spaces included."""
-    return F.btrim(column, F.lit(WHITESPACE))
+    spaces = "".join(f"\\u{ord(space):04x}" for space in WHITESPACE)
+    return f"btrim({text}, '{spaces}')"
 
 
-def null_if_token(column: Column) -> Column:
+def null_if_token(text: str) -> Column:
     """NULL where the cell holds one of the usual spellings of a missing value."""
-    return F.when(~column.isin(*NULL_TOKENS), column)
+    return F.expr(f"CASE WHEN {text} NOT IN ({sql_list(NULL_TOKENS)}) THEN {text} END")
 
 
-def as_number(column: Column) -> Column:
-    """A comma-grouped number as a double; NULL where the text is not a number."""
-    text = F.replace(column, F.lit(","), F.lit(""))
-    # Java reads a trailing d or f as part of a number; sheets mean no such thing.
-    number = F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
-    return missing_if_nan(number)
+def number_sql(text: str) -> str:
+    """A comma-grouped number as a double; NULL where the text is not a number.
+
+    Java reads a trailing d or f as part of a number; sheets mean no such thing.
+    """
+    return (
+        f"CASE WHEN NOT rlike({text}, r'[dDfF]\\s*$') "
+        f"THEN {real_sql(f"try_cast(replace({text}, ',', '') AS double)")} END"
+    )
 
 
-def missing_if_nan(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)
+def real_sql(number: str) -> str:
+    """The number as a double, with not-a-number read as missing."""
+    return f"nullif(cast({number} AS double), double('NaN'))"
 
 
-def rounded_to_tenth(column: Column) -> Column:
+def rounded_to_tenth(number: str) -> Column:
     """One decimal, ties to even on the scaled double.
 
-    `F.round` rounds ties up, and `F.bround` works on the decimal text, so
-    neither gives the same doubles.
+    `round` rounds ties up, and `bround` works on the decimal text, so neither
+    gives the same doubles.
     """
-    return F.rint(column * F.lit(10.0)) / F.lit(10.0)
+    return F.expr(f"rint({number} * 10D) / 10D")
 
 
-def run_date_label(column: Column) -> Column:
-    return F.date_format(column, RUN_DATE_FORMAT)
+def run_date_label(date: str) -> Column:
+    return F.date_format(date, RUN_DATE_FORMAT)
 
 
-def file_name_of_url(url: Column) -> Column:
+def file_name_of_url(url: str) -> Column:
     """The last segment of the URL's path, with `%20` written as `_`.
 
     Splits the URL by its delimiters only, so that addresses `parse_url` rejects
     (spaces, stray brackets) still give a name.
     """
-    path = F.regexp_extract(url, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
-    segment = F.substring_index(path, "/", -1)
-    return F.replace(F.substring_index(segment, ";", 1), F.lit("%20"), F.lit("_"))
+    path = rf"regexp_extract({url}, r'^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
+    segment = f"substring_index(substring_index({path}, '/', -1), ';', 1)"
+    return F.expr(f"replace({segment}, '%20', '_')")

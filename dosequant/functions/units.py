@@ -3,30 +3,29 @@
 from pyspark.sql import Column, functions as F
 
 from dosequant.fixed_values import UNIT_RULES
-from dosequant.functions.text import stripped
+from dosequant.functions.text import sql_list, stripped_sql
 
 
-def clean_unit(unit: Column) -> Column:
-    return stripped(F.lower(unit))
+def clean_unit_sql(unit: str) -> str:
+    return stripped_sql(f"lower({unit})")
 
 
-def normal_unit(cleaned: Column) -> Column:
+def normal_unit(cleaned: str) -> Column:
     """The unit a cleaned spelling stands for; unknown spellings stay as they are."""
-    result = cleaned
-    for spellings, (unit, _, _) in UNIT_RULES.items():
-        result = F.when(cleaned.isin(*spellings), F.lit(unit)).otherwise(result)
-    return result
+    cases = [
+        f"WHEN {cleaned} IN ({sql_list(spellings)}) THEN '{unit}'"
+        for spellings, (unit, _, _) in UNIT_RULES.items()
+    ]
+    return F.expr(f"CASE {' '.join(cases)} ELSE {cleaned} END")
 
 
-def scaled_number(number: Column, cleaned: Column) -> Column:
+def scaled_number(number: str, cleaned: str) -> Column:
     """The number converted along with its unit."""
-    result = number
+    cases = []
     for spellings, (_, divisors, multiplier) in UNIT_RULES.items():
-        scaled = number
-        for divisor in divisors:
-            scaled = scaled / F.lit(divisor)
+        steps = "".join(f" / {divisor}D" for divisor in divisors)
         if multiplier is not None:
-            scaled = scaled * F.lit(multiplier)
-        if divisors or multiplier is not None:
-            result = F.when(cleaned.isin(*spellings), scaled).otherwise(result)
-    return result
+            steps += f" * {multiplier}D"
+        if steps:
+            cases.append(f"WHEN {cleaned} IN ({sql_list(spellings)}) THEN {number}{steps}")
+    return F.expr(f"CASE {' '.join(cases)} ELSE {number} END")

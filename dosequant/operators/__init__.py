@@ -21,7 +21,7 @@ from dosequant.operators.quality import (
     usage_comparison,
     usage_delta,
 )
-from dosequant.operators.skew import join_split, split_hot_keys
+from dosequant.operators.skew import join_apart
 
 __all__ = [
     "back_computed",
@@ -29,7 +29,7 @@ __all__ = [
     "first_non_null",
     "high_usage",
     "ingredient_counts",
-    "join_split",
+    "join_apart",
     "link_file_names",
     "normalise_units",
     "normalised_adqs",
@@ -41,7 +41,6 @@ __all__ = [
     "qa_summary",
     "reject_report",
     "representative_presentation",
-    "split_hot_keys",
     "squ_latest",
     "squ_of",
     "squ_pairs",

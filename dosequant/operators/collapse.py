@@ -3,32 +3,22 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def first_non_null(
-    df: DataFrame, key: str, columns, order_by, apart_from_key: bool = False
-) -> DataFrame:
+def first_non_null(df: DataFrame, key: str, columns, order_by) -> DataFrame:
     """Per key and column, the first value that is not NULL in `order_by`.
 
     A result row may mix values of several source rows. Rows with a NULL key are
     dropped. `order_by` should tell all rows of a key apart.
-
-    With `apart_from_key` the grouping key is wrapped so that Spark does not reuse
-    the partitioning of a join on the same key: rows are combined where they are
-    and only one partial row per key and task is shuffled, however many rows of a
-    key the join has spread over tasks.
     """
-    group = F.struct(key).alias("_group") if apart_from_key else F.col(key)
     found = [
         F.expr(f"min_by(`{c}`, _order) FILTER (WHERE `{c}` IS NOT NULL)").alias(c)
         for c in columns
     ]
-    firsts = (
+    return (
         df.where(F.col(key).isNotNull())
         .withColumn("_order", F.struct(*order_by))
-        .groupBy(group)
+        .groupBy(key)
         .agg(*found)
     )
-    kept = F.col(f"_group.{key}").alias(key) if apart_from_key else F.col(key)
-    return firsts.select(kept, *columns)
 
 
 def preview(df: DataFrame, key, rows: int = 5) -> DataFrame:
@@ -42,10 +32,10 @@ def field_values(products: DataFrame) -> DataFrame:
 
     Products without form units count as having blank ones.
     """
-    def listed(value: Column) -> Column:
-        return F.concat_ws(", ", F.array_sort(F.collect_set(value)))
+    def listed(value: str) -> Column:
+        return F.expr(f"concat_ws(', ', array_sort(collect_set({value})))")
 
     return products.agg(
-        listed(F.col("form_indicator")).alias("form_indicator"),
-        listed(F.coalesce(F.col("form_units"), F.lit(""))).alias("form_units"),
+        listed("form_indicator").alias("form_indicator"),
+        listed("coalesce(form_units, '')").alias("form_units"),
     )

@@ -55,4 +55,4 @@ def page_links(
 
 def link_file_names(links: DataFrame) -> DataFrame:
     """The name under which each link's file is kept."""
-    return links.withColumn("file_name", file_name_of_url(F.col("url")))
+    return links.withColumn("file_name", file_name_of_url("url"))

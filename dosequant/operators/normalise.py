@@ -1,39 +1,42 @@
 """Unit normalisation of whole tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType
 
 from dosequant.functions.doses import dose_from_name
-from dosequant.functions.text import as_number, missing_if_nan, null_if_token
-from dosequant.functions.units import clean_unit, normal_unit, scaled_number
+from dosequant.functions.text import null_if_token, number_sql, real_sql
+from dosequant.functions.units import clean_unit_sql, normal_unit, scaled_number
 from dosequant.schemas import ADQ_SHEET
 
 
 def normalise_units(
-    df: DataFrame, number: str, unit: str, null_unit: str | None = None
+    df: DataFrame, *measures: tuple[str, str], null_unit: str | None = None
 ) -> DataFrame:
-    """Replace `number` and `unit` by the measure in grammes, ml, units or doses.
+    """Replace each (number, unit) pair of columns by the measure in grammes, ml,
+    units or doses.
 
     A number column of text may hold comma-grouped numbers. A missing unit stays
     missing unless `null_unit` names what to read instead.
     """
-    value = F.col(number)
-    if isinstance(df.schema[number].dataType, StringType):
-        value = as_number(value)
-    else:
-        value = missing_if_nan(value.cast("double"))
-    label = F.col(unit) if null_unit is None else F.coalesce(F.col(unit), F.lit(null_unit))
-    cleaned = clean_unit(label)
-    return df.withColumns(
-        {number: scaled_number(value, cleaned), unit: normal_unit(cleaned)}
-    )
+    plain, normal = {}, {}
+    for number, unit in measures:
+        is_text = isinstance(df.schema[number].dataType, StringType)
+        value = number_sql(number) if is_text else real_sql(number)
+        label = unit if null_unit is None else f"coalesce({unit}, '{null_unit}')"
+        plain |= {number: value, unit: clean_unit_sql(label)}
+        normal |= {number: scaled_number(number, unit), unit: normal_unit(unit)}
+    # Read the cells first, so that the rules below see plain columns.
+    cells = [f"{plain[c]} AS {c}" if c in plain else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*cells).withColumns(normal)
 
 
 def normalised_products(products: DataFrame) -> DataFrame:
     """The product table with strengths in normal units."""
-    return products.transform(
-        normalise_units, "numerator", "numerator_unit_of_measure"
-    ).transform(normalise_units, "denominator", "denominator_unit_of_measure")
+    return normalise_units(
+        products,
+        ("numerator", "numerator_unit_of_measure"),
+        ("denominator", "denominator_unit_of_measure"),
+    )
 
 
 def normalised_adqs(sheet: DataFrame, null_unit: str | None = "") -> DataFrame:
@@ -43,10 +46,9 @@ def normalised_adqs(sheet: DataFrame, null_unit: str | None = "") -> DataFrame:
     missing unit reads as blank, which the ADQ rules take as "unit".
     """
     adqs = sheet.toDF(*ADQ_SHEET.names)
-    value = adqs["adq_value"]
-    present = null_if_token(value.cast("string")).isNotNull()
-    return (
-        adqs.where(present)
-        .withColumn("dose_multiplier", dose_from_name(F.col("bnf_name")))
-        .transform(normalise_units, "adq_value", "adq_denominator", null_unit)
+    present = null_if_token("cast(adq_value AS string)").isNotNull()
+    return normalise_units(
+        adqs.where(present).withColumn("dose_multiplier", dose_from_name("bnf_name")),
+        ("adq_value", "adq_denominator"),
+        null_unit=null_unit,
     )

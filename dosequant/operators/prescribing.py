@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dosequant.operators.skew import join_apart
+
 PROVIDED_COLUMNS = (
     "Practice_Code",
     "BNF_Code",
@@ -10,7 +12,6 @@ PROVIDED_COLUMNS = (
     "Quantity",
     "ADQ_Usage",
 )
-USAGE_SCALE = 1_000_000
 
 
 def representative_presentation(
@@ -35,7 +36,7 @@ def representative_presentation(
 
 def usage() -> Column:
     """ADQs of a prescribing row, from its quantity, items and ADQs per quantity."""
-    return F.col("Quantity") * F.col("Items") * F.col("adq_per_quantity")
+    return F.expr("Quantity * Items * adq_per_quantity")
 
 
 def practice_usage(
@@ -49,30 +50,27 @@ def practice_usage(
     Usage is summed in whole millionths of an ADQ, so that the total does not
     depend on the order in which executors deliver their parts.
     """
-    figures = presentations.select(
-        F.col("bnf_code").alias("BNF_Code"), "adq_per_quantity"
+    figures = presentations.select("bnf_code", "adq_per_quantity")
+    rows = prescribing.select(
+        *by, F.col("BNF_Code").alias("bnf_code"), "Items", "Quantity"
     )
-    millionths = F.rint(usage() * F.lit(float(USAGE_SCALE))).try_cast("bigint")
     return (
-        prescribing.select(*by, "BNF_Code", "Items", "Quantity")
-        .join(figures, "BNF_Code", "left")
-        .select(*by, millionths.alias("millionths"))
+        join_apart(rows, figures, "bnf_code", how="left")
+        .select(*by, F.rint(usage() * F.lit(1e6)).try_cast("bigint").alias("millionths"))
         .groupBy(*by)
         .agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(F.col("millionths").isNull()).alias("n_uncomputed"),
-            (
-                F.sum(F.col("millionths").cast("decimal(20,0)")).cast("double")
-                / F.lit(float(USAGE_SCALE))
-            ).alias("adq_usage"),
+            F.expr("count(*)").alias("n_rows"),
+            F.expr("count_if(millionths IS NULL)").alias("n_uncomputed"),
+            F.expr("cast(sum(cast(millionths AS decimal(20, 0))) AS double) / 1e6D").alias(
+                "adq_usage"
+            ),
         )
     )
 
 
 def back_computed(prescribing: DataFrame) -> DataFrame:
     """ADQs per quantity as implied by the published usage of each row."""
-    prescribed = F.col("Items") * F.col("Quantity")
     return prescribing.select(
         *PROVIDED_COLUMNS,
-        F.try_divide("ADQ_Usage", prescribed).alias("adq_per_quantity"),
+        F.expr("try_divide(ADQ_Usage, Items * Quantity)").alias("adq_per_quantity"),
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from dosequant.operators.skew import SLICE, join_split, split_hot_keys
+from dosequant.operators.skew import join_apart
 
 STRENGTH = (
     "strnt_nmrtr_val",
@@ -31,7 +31,6 @@ def product_details(
     lookup_form: DataFrame,
     lookup_indicator: DataFrame,
     lookup_unit: DataFrame,
-    **limits,
 ) -> DataFrame:
     """One row per product, form and ingredient strength, with all codes as text.
 
@@ -40,39 +39,44 @@ def product_details(
     part, as none of their columns is wanted and the rows are distinct anyway.
 
     Equal strengths of a medicinal product are merged, with their number, before
-    anything is joined: the counts need no second pass over the ingredients, and
-    the rows that remain per key are all different.
+    anything is joined, so that counting them needs no second pass. Every
+    medicinal product also gets a blank strength of number 0, which stands for it
+    if it has no other; that way the join to the strengths can be an inner one,
+    in which a hot key may be split on either side.
     """
-    strengths = vpi.groupBy("vpid", *STRENGTH).agg(F.count("*").alias("n"))
-    counts = strengths.groupBy("vpid").agg(F.sum("n").alias("ingredient_count"))
+    blank = vmp.select(
+        "vpid",
+        *[F.lit(None).cast(vpi.schema[c].dataType).alias(c) for c in STRENGTH],
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    listed = vpi.select("vpid", *STRENGTH, F.lit(1).cast("bigint").alias("n"))
+    strengths = (
+        listed.unionByName(blank).groupBy("vpid", *STRENGTH).agg(F.sum("n").alias("n"))
+    )
+    counts = strengths.groupBy("vpid").agg(F.sum("n").alias("n_ingredients"))
+    strengths = _with_label(
+        strengths, "strnt_nmrtr_uomcd", lookup_unit, "numerator_unit_of_measure"
+    )
+    strengths = _with_label(
+        strengths, "strnt_dnmtr_uomcd", lookup_unit, "denominator_unit_of_measure"
+    )
 
     forms = lookup_form.select(F.col("cd").alias("formcd"), F.col("desc").alias("form"))
     medicines = (
         vmp.join(dform.select("vpid", "formcd").distinct(), "vpid")
         .join(forms, "formcd")
-        .join(counts, "vpid", "left")
+        .join(counts, "vpid")
     )
     medicines = _with_label(medicines, "df_indcd", lookup_indicator, "form_indicator")
     medicines = _with_label(medicines, "udfs_uomcd", lookup_unit, "form_units")
     medicines = _with_label(medicines, "unit_dose_uomcd", lookup_unit, "unit_of_measure")
 
-    strengths = _with_label(
-        strengths.drop("n"), "strnt_nmrtr_uomcd", lookup_unit, "numerator_unit_of_measure"
-    )
-    strengths = _with_label(
-        strengths, "strnt_dnmtr_uomcd", lookup_unit, "denominator_unit_of_measure"
-    )
-
     coded = product.where(F.col("bnf_code").isNotNull()).select("bnf_code", "name", "vpid")
-    coded = join_split(coded, medicines, "vpid", **limits)
-    strengths, coded = split_hot_keys(
-        strengths.withColumn("has_strength", F.lit(True)), coded, "vpid", **limits
+    composed = join_apart(
+        join_apart(coded, medicines, "vpid", "medicine"), strengths, "vpid", "strength"
     )
     return (
-        coded.join(strengths, ["vpid", SLICE], "left")
-        # A product repeated over slices may miss in some; only one without any
-        # ingredient row stands alone.
-        .where(F.col("has_strength") | F.col("ingredient_count").isNull())
+        composed.where((F.col("n") > 0) | (F.col("n_ingredients") == 0))
         .select(
             "bnf_code",
             "name",
@@ -86,7 +90,7 @@ def product_details(
             "numerator_unit_of_measure",
             F.col("strnt_dnmtr_val").alias("denominator"),
             "denominator_unit_of_measure",
-            "ingredient_count",
+            F.nullif("n_ingredients", F.lit(0)).alias("ingredient_count"),
         )
         .distinct()
     )

@@ -8,7 +8,7 @@ from dosequant.fixed_values import (
     PRESENTATION_COLUMNS,
     SQU_LABELS,
 )
-from dosequant.functions.text import as_number, null_if_token, rounded_to_tenth
+from dosequant.functions.text import null_if_token, number_sql, rounded_to_tenth
 from dosequant.operators.prescribing import usage
 from dosequant.schemas import ADQ_SHEET
 
@@ -16,8 +16,9 @@ from dosequant.schemas import ADQ_SHEET
 def usage_comparison(provided: DataFrame, presentations: DataFrame) -> DataFrame:
     """Published and our own usage of each presentation, side by side."""
     return (
-        provided.withColumnRenamed("BNF_Code", "bnf_code")
-        .withColumnRenamed("ADQ_Usage", "their_adq_usage")
+        provided.withColumnsRenamed(
+            {"BNF_Code": "bnf_code", "ADQ_Usage": "their_adq_usage"}
+        )
         .join(presentations.select(*PRESENTATION_COLUMNS), "bnf_code")
         .withColumn("our_adq_usage", usage())
     )
@@ -25,8 +26,7 @@ def usage_comparison(provided: DataFrame, presentations: DataFrame) -> DataFrame
 
 def is_delta() -> Column:
     """Whether the figures differ at one decimal; a missing figure differs."""
-    theirs = rounded_to_tenth(F.col("their_adq_usage"))
-    ours = rounded_to_tenth(F.col("our_adq_usage"))
+    theirs, ours = rounded_to_tenth("their_adq_usage"), rounded_to_tenth("our_adq_usage")
     return F.coalesce(theirs != ours, F.lit(True))
 
 
@@ -43,28 +43,29 @@ def qa_summary(
     ibuprofen_pattern: str = IBUPROFEN_LIQUID_PATTERN,
     above: float = HIGH_USAGE,
 ) -> DataFrame:
-    """The figures of the quality report in one row, from one pass."""
-    measure = F.col("unit_of_measure")
-
-    def differing(*conditions: Column) -> Column:
-        condition = F.col("is_delta")
-        for extra in conditions:
-            condition = condition & extra
-        return F.count_if(condition)
+    """The figures of the quality report in one row, from one pass.
 
+    All but n_total are counted among the rows whose figures differ.
+    """
+    figures = {
+        "n_delta": "true",
+        "n_uncomputed": "adq_per_quantity IS NULL",
+        "n_patch": "unit_of_measure = 'patch'",
+        "n_unit_dose": "unit_of_measure IN ('unit dose', 'dose')",
+        "n_ibuprofen": f"bnf_code RLIKE r'{ibuprofen_pattern}'",
+        "n_high": f"their_adq_usage > {above}",
+        "n_sachet": "unit_of_measure = 'sachet'",
+    }
     return (
         comparison.withColumn("is_delta", is_delta())
         .agg(
             F.count("*").alias("n_total"),
-            differing().alias("n_delta"),
-            differing(F.col("adq_per_quantity").isNull()).alias("n_uncomputed"),
-            differing(measure == "patch").alias("n_patch"),
-            differing(measure.isin("unit dose", "dose")).alias("n_unit_dose"),
-            differing(F.col("bnf_code").rlike(ibuprofen_pattern)).alias("n_ibuprofen"),
-            differing(F.col("their_adq_usage") > above).alias("n_high"),
-            differing(measure == "sachet").alias("n_sachet"),
+            *[
+                F.expr(f"count_if(is_delta AND {condition})").alias(name)
+                for name, condition in figures.items()
+            ],
         )
-        .withColumn("pct", F.rint(F.try_divide("n_delta", "n_total") * F.lit(100.0)))
+        .withColumn("pct", F.expr("rint(try_divide(n_delta, n_total) * 100D)"))
     )
 
 
@@ -75,16 +76,19 @@ def reject_report(sheet: DataFrame, dispensing: DataFrame) -> DataFrame:
     unknown unit code no SQU. A caller who wants such input to fail can check
     that every count is 0.
     """
-    text = null_if_token(F.col("adq_value").cast("string"))
-    value = as_number(F.col("adq_value").cast("string"))
-    sheet_counts = sheet.toDF(*ADQ_SHEET.names).agg(
-        F.count_if(text.isNotNull() & value.isNull()).alias("adq_value_unreadable"),
-        F.count_if(value == 0).alias("adq_value_zero"),
+    text = "cast(adq_value AS string)"
+    sheet_counts = (
+        sheet.toDF(*ADQ_SHEET.names)
+        .select(null_if_token(text).alias("text"), F.expr(number_sql(text)).alias("value"))
+        .agg(
+            F.expr("count_if(text IS NOT NULL AND value IS NULL)").alias(
+                "adq_value_unreadable"
+            ),
+            F.expr("count_if(value = 0)").alias("adq_value_zero"),
+        )
     )
     dispensing_counts = dispensing.agg(
-        F.count_if(
-            F.col("squ_code").isNotNull() & ~F.col("squ_code").isin(*SQU_LABELS)
-        ).alias("squ_code_unknown")
+        F.count_if(~F.col("squ_code").isin(*SQU_LABELS)).alias("squ_code_unknown")
     )
 
     def as_rows(counts: DataFrame) -> DataFrame:

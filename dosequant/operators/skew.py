@@ -2,47 +2,28 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-SLICE = "_slice"
-ROWS_PER_SLICE = 1_000_000
 
+def join_apart(
+    left: DataFrame, right: DataFrame, key: str, step: str = "", how: str = "inner"
+) -> DataFrame:
+    """Join on `key`, partitioned for this join alone.
 
-def split_hot_keys(
-    many: DataFrame, one: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a `_slice` column, to be joined on (key, _slice).
+    Spark broadcasts the smaller side if its size allows. Beyond that it sorts and
+    merges, and splits a partition with a hot key over several tasks at runtime;
+    but only if both sides come straight from a shuffle and the next step does not
+    build on the join's partitioning. Chains of joins and groupings on one key
+    break that rule, since Spark saves shuffles there.
 
-    Keys with more than `rows_per_slice` rows in `many` are cut into slices by a
-    hash of the row; rows of `one` with such a key are repeated once per slice,
-    all others stay single. Each pair of rows with equal keys meets exactly once.
+    Here the sides are matched on the key wrapped in a struct. No other step is
+    partitioned by that, so both sides are shuffled for the join, a later grouping
+    combines its rows before its own shuffle, and a hot key can be split. Two such
+    joins in a row need different `step` names.
 
-    The list of hot keys is broadcast: there are at most (rows of `many`) /
-    `rows_per_slice` of them. It comes from a count of the key column alone and
-    depends on nothing but the rows themselves, so that both sides, and tasks run
-    again after a lost executor, see the same slices.
-
-    Runtime skew handling does not help in these joins: it leaves alone a side
-    that is itself the outcome of a join on the same key, and joins whose
-    partitioning the next step reuses.
+    A left join keeps rows without a key. In no join do missing keys match, which
+    structs around them would do.
     """
-    counted = many.where(F.col(key).isNotNull()).groupBy(key).count()
-    hot = counted.where(F.col("count") > rows_per_slice).select(
-        key, F.ceil(F.col("count") / F.lit(rows_per_slice)).cast("int").alias("_slices")
-    )
-    slices = F.col("_slices")
-    sliced_many = many.join(F.broadcast(hot), key, "left").select(
-        *many.columns,
-        F.when(slices.isNotNull(), F.pmod(F.xxhash64(*many.columns), slices).cast("int"))
-        .otherwise(F.lit(0))
-        .alias(SLICE),
-    )
-    repeated_one = one.join(F.broadcast(hot), key, "left").select(
-        *one.columns,
-        F.explode(F.sequence(F.lit(0), F.coalesce(slices, F.lit(1)) - 1)).alias(SLICE),
-    )
-    return sliced_many, repeated_one
-
-
-def join_split(many: DataFrame, one: DataFrame, key: str, **limits) -> DataFrame:
-    """Inner join on `key` with the hot keys of `many` spread over several tasks."""
-    left, right = split_hot_keys(many, one, key, **limits)
-    return left.join(right, [key, SLICE]).drop(SLICE)
+    if how == "inner":
+        left = left.where(F.col(key).isNotNull())
+    right = right.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
+    match = F.expr(f"struct('{step}', {key}) = struct('{step}', _key)")
+    return left.join(right, match, how).drop("_key")

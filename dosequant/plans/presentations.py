@@ -1,12 +1,12 @@
 """From products, SQUs and the ADQ sheet to ADQs per presentation."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from dosequant.fixed_values import PRESENTATION_COLUMNS
 from dosequant.functions.quantity import adq_per_quantity, quantity_unit
 from dosequant.operators.collapse import first_non_null
 from dosequant.operators.normalise import normalised_adqs, normalised_products
-from dosequant.operators.skew import join_split
+from dosequant.operators.skew import join_apart
 
 # Tells all input rows of one presentation apart.
 ROW_ORDER = (
@@ -23,7 +23,6 @@ def adq_inputs(
     adq_sheet: DataFrame,
     squ_join: str = "left",
     null_unit: str | None = "",
-    **limits,
 ) -> DataFrame:
     """Products in normal units with their SQU and ADQ.
 
@@ -35,7 +34,7 @@ def adq_inputs(
     """
     adqs = normalised_adqs(adq_sheet, null_unit)
     per_code = adqs.join(squs.select("bnf_code", "squ"), "bnf_code", squ_join)
-    return join_split(normalised_products(products), per_code, "bnf_code", **limits)
+    return join_apart(normalised_products(products), per_code, "bnf_code")
 
 
 def computed_adqs(inputs: DataFrame) -> DataFrame:
@@ -48,6 +47,4 @@ def computed_adqs(inputs: DataFrame) -> DataFrame:
 def adq_by_presentation(computed: DataFrame, order_by=ROW_ORDER) -> DataFrame:
     """One row per presentation: the first known value of each column."""
     columns = [c for c in PRESENTATION_COLUMNS if c != "bnf_code"]
-    return first_non_null(
-        computed, "bnf_code", columns, order_by, apart_from_key=True
-    )
+    return first_non_null(computed, "bnf_code", columns, order_by)
