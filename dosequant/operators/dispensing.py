@@ -24,11 +24,14 @@ def coded_dispensing(dispensing: DataFrame) -> DataFrame:
 
 
 def squ_pairs(dispensing: DataFrame) -> DataFrame:
-    """Every distinct (bnf_code, squ) over all months."""
+    """Every distinct (bnf_code, squ) over all months.
+
+    Takes a stream of dispensing rows as well, and then gives each pair once.
+    """
     return (
         coded_dispensing(dispensing)
         .select("bnf_code", "squ_code")
-        .distinct()
+        .dropDuplicates()
         .select("bnf_code", squ_label(F.col("squ_code")).alias("squ"))
     )
 

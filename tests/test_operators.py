@@ -1,0 +1,304 @@
+"""Table operators on small fixtures."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from dosequant import schemas
+from dosequant.operators import (
+    back_computed,
+    field_values,
+    first_non_null,
+    high_usage,
+    ingredient_counts,
+    link_file_names,
+    page_links,
+    practice_usage,
+    preview,
+    product_details,
+    qa_summary,
+    reject_report,
+    representative_presentation,
+    squ_latest,
+    squ_of,
+    squ_pairs,
+    usage_comparison,
+    usage_delta,
+)
+from dosequant.plans import adq_by_presentation, adq_inputs, computed_adqs
+
+
+def dictionary(spark, product, vmp, vpi, dform):
+    def lookup(*texts):
+        return spark.createDataFrame(list(enumerate(texts)), schemas.DMD_LOOKUP)
+
+    return product_details(
+        product=spark.createDataFrame(product, schemas.DMD_PRODUCT),
+        vmp=spark.createDataFrame(vmp, schemas.DMD_VMP),
+        vpi=spark.createDataFrame(vpi, schemas.DMD_VPI),
+        dform=spark.createDataFrame(dform, schemas.DMD_DFORM),
+        lookup_form=lookup("Capsule", "Cream"),
+        lookup_indicator=lookup("Not applicable", "Discrete"),
+        lookup_unit=lookup("mg", "ml", "capsule"),
+    )
+
+
+def test_product_details(spark):
+    found = dictionary(
+        spark,
+        product=[
+            ("A1", "two ingredients", 1),
+            ("A1", "two ingredients", 1),
+            ("A2", "none", 2),
+            ("A3", "two forms", 3),
+            ("A4", "no medicinal product", 9),
+            ("A5", "unknown form", 4),
+            (None, "no code", 1),
+            ("A6", "no key", None),
+            ("A7", "blank strength", 5),
+        ],
+        vmp=[
+            (1, 1, 1.0, 2, 2),
+            (2, 0, None, None, 77),
+            (3, None, 5.0, 1, 1),
+            (4, 1, 1.0, 2, 2),
+            (5, 1, 1.0, 2, 2),
+            (None, 1, 1.0, 2, 2),
+        ],
+        vpi=[
+            (1, 10.0, 0, None, None),
+            (1, 20.0, 0, 1.0, 1),
+            (1, 20.0, 0, 1.0, 1),
+            (3, 7.0, 0, 5.0, 1),
+            (5, None, None, None, None),
+            (8, 1.0, 0, None, None),
+        ],
+        dform=[(1, 0), (1, 0), (2, 1), (3, 0), (3, 1), (4, 55), (5, 0)],
+    )
+    assert found.columns == schemas.PRODUCTS.names
+    assert {tuple(r) for r in found.collect()} == {
+        ("A1", "two ingredients", 1, "Capsule", "Discrete", 1.0, "capsule", "capsule", 10.0, "mg", None, None, 3),
+        ("A1", "two ingredients", 1, "Capsule", "Discrete", 1.0, "capsule", "capsule", 20.0, "mg", 1.0, "ml", 3),
+        ("A2", "none", 2, "Cream", "Not applicable", None, None, None, None, None, None, None, None),
+        ("A3", "two forms", 3, "Capsule", None, 5.0, "ml", "ml", 7.0, "mg", 5.0, "ml", 1),
+        ("A3", "two forms", 3, "Cream", None, 5.0, "ml", "ml", 7.0, "mg", 5.0, "ml", 1),
+        ("A7", "blank strength", 5, "Capsule", "Discrete", 1.0, "capsule", "capsule", None, None, None, None, 1),
+    }
+    assert found.count() == 6
+
+
+def test_ingredient_counts(spark):
+    vpi = spark.createDataFrame(
+        [(1, 1.0, 0, None, None), (1, 1.0, 0, None, None), (2, 1.0, 0, None, None)],
+        schemas.DMD_VPI,
+    )
+    assert {tuple(r) for r in ingredient_counts(vpi).collect()} == {(1, 2), (2, 1)}
+
+
+@pytest.fixture
+def dispensing(spark):
+    return spark.createDataFrame(
+        [
+            ("A", 1, 1, date(2018, 1, 1)),
+            ("A", 3, 1, date(2018, 3, 1)),
+            ("A", 1, 2, date(2018, 2, 1)),
+            ("B", 6, None, date(2018, 1, 1)),
+            ("B", 0, 4, date(2018, 9, 1)),
+            ("C", 9, 1, date(2018, 9, 1)),
+            ("C", 0, 1, date(2018, 1, 1)),
+            ("D", 1, 1, date(2018, 1, 1)),
+            ("D", 6, 1, date(2018, 1, 1)),
+            ("E", 3, 1, None),
+            ("F", 1, 1, None),
+            ("F", 0, 1, date(1960, 5, 1)),
+            (None, 1, 1, date(2018, 1, 1)),
+            ("G", None, 1, date(2018, 1, 1)),
+        ],
+        schemas.DISPENSING,
+    )
+
+
+def test_squ_pairs(dispensing):
+    assert sorted(tuple(r) for r in squ_pairs(dispensing).collect()) == [
+        ("A", "ml"), ("A", "unit"), ("B", "g"), ("C", "individual"), ("D", "g"),
+        ("D", "unit"), ("E", "ml"), ("F", "individual"), ("F", "unit"),
+    ]
+
+
+def test_squ_latest(dispensing):
+    assert sorted(tuple(r) for r in squ_latest(dispensing).collect()) == [
+        ("A", "ml"), ("B", "g"), ("C", "individual"), ("D", "g"), ("E", "ml"),
+        ("F", "individual"),
+    ]
+    assert [tuple(r) for r in squ_of(squ_latest(dispensing), "A").collect()] == [("A", "ml")]
+
+
+PRESCRIBED = [
+    ("P2", "A", "a", 1, 10, 5.0),
+    ("P1", "A", "a", 2, 10, 5.0),
+    ("P1", "A", "a", 2, 3, 5.0),
+    ("P0", "A", "a", 1, 1, 0.0),
+    ("P1", "B", "b", 1, 1, 7.0),
+    ("P1", "C", "c", 1, 1, None),
+    ("P1", "D", "d", 0, 10, -1.0),
+]
+
+
+def test_representative_presentation(spark):
+    rows = spark.createDataFrame(PRESCRIBED, schemas.PRESCRIBING)
+    found = sorted(tuple(r) for r in representative_presentation(rows).collect())
+    assert found == [("P1", "A", "a", 2, 3, 5.0), ("P1", "B", "b", 1, 1, 7.0)]
+    shuffled = rows.orderBy(F.rand(3)).repartition(5)
+    assert sorted(tuple(r) for r in representative_presentation(shuffled).collect()) == found
+
+
+def test_practice_usage(spark):
+    rows = spark.createDataFrame(
+        PRESCRIBED + [("P3", None, "n", 1, 1, 1.0)], schemas.PRESCRIBING
+    )
+    figures = spark.createDataFrame(
+        [("A", 0.1), ("B", None), ("D", 1.0)], "bnf_code string, adq_per_quantity double"
+    )
+    found = {r.Practice_Code: tuple(r)[1:] for r in practice_usage(rows, figures).collect()}
+    assert found == {
+        "P0": (1, 0, 0.1),
+        "P1": (5, 2, 2.6),
+        "P2": (1, 0, 1.0),
+        "P3": (1, 1, None),
+    }
+
+
+def test_practice_usage_with_a_hot_code_does_not_depend_on_order(spark):
+    rows = spark.range(30_000).selectExpr(
+        "'P' AS Practice_Code",
+        "CASE WHEN id < 10000 THEN 'hot' ELSE concat('c', id % 100) END AS BNF_Code",
+        "1L AS Items",
+        "id AS Quantity",
+    )
+    figures = rows.select(F.col("BNF_Code").alias("bnf_code")).distinct()
+    figures = figures.withColumn("adq_per_quantity", F.lit(0.1))
+    expected = {("P", 30_000, 0, 29_999 * 15_000 / 10)}
+    for partitions in (1, 7, 64):
+        found = practice_usage(rows.repartition(partitions), figures).collect()
+        assert {tuple(r) for r in found} == expected
+
+
+def test_back_computed(spark):
+    rows = spark.createDataFrame(PRESCRIBED, schemas.PRESCRIBING)
+    found = sorted(r.adq_per_quantity for r in back_computed(rows).where("BNF_Code = 'A'").collect())
+    assert found == [0.0, 0.25, 0.5, 5.0 / 6]
+    assert back_computed(rows).where("BNF_Code = 'D'").first().adq_per_quantity is None
+
+
+def test_first_non_null_mixes_rows(spark):
+    rows = spark.createDataFrame(
+        [("A", 1, None, "x"), ("A", 2, 5.0, None), ("A", 3, 6.0, "y"), ("B", 1, None, None),
+         (None, 1, 1.0, "z")],
+        "k string, o int, a double, b string",
+    )
+    found = first_non_null(rows, "k", ["a", "b"], ["o"])
+    assert sorted(tuple(r) for r in found.collect()) == [("A", 5.0, "x"), ("B", None, None)]
+
+
+def test_preview_and_field_values(spark):
+    rows = spark.createDataFrame(
+        [("b", "Discrete", None), ("a", "Continuous", "ml"), ("c", None, "capsule"),
+         ("d", "Discrete", "ml")],
+        "bnf_code string, form_indicator string, form_units string",
+    )
+    assert [r.bnf_code for r in preview(rows, "bnf_code", 3).collect()] == ["a", "b", "c"]
+    assert tuple(field_values(rows).first()) == ("Continuous, Discrete", ", capsule, ml")
+
+
+def test_reject_report(spark, dispensing):
+    sheet = spark.createDataFrame(
+        [("A", "a", "1,000", ""), ("B", "b", "N/A", ""), ("C", "c", "see", ""),
+         ("D", "d", "0.0", ""), ("E", "e", None, "")],
+        schemas.ADQ_SHEET,
+    )
+    assert {tuple(r) for r in reject_report(sheet, dispensing).collect()} == {
+        ("adq_value_unreadable", 1), ("adq_value_zero", 1), ("squ_code_unknown", 1),
+    }
+
+
+def test_usage_report(spark):
+    """Published rows whose usage is known to agree, and made-up ones that differ."""
+    provided = spark.createDataFrame(
+        [
+            ("P", "SERETIDE", "", 2, 1, 60.0),
+            ("P", "DUROGESIC", "", 2, 10, 66.66666),
+            ("P", "1001010J0AABHBH", "", 1, 100, 1000.0),
+            ("P", "SACHET", "", 1, 10, 1.0),
+            ("P", "PATCH", "", 1, 10, 1.0),
+            ("P", "SPRAY", "", 1, 10, 500.0),
+            ("P", "NOWHERE", "", 1, 10, 500.0),
+        ],
+        schemas.PRESCRIBING,
+    )
+    presentations = spark.createDataFrame(
+        [
+            ("SERETIDE", "dose", 30.0),
+            ("DUROGESIC", "patch", 1 / 0.3),
+            ("1001010J0AABHBH", "ml", 0.1),
+            ("SACHET", "sachet", 0.2),
+            ("PATCH", "patch", None),
+            ("SPRAY", "unit dose", 0.2),
+            ("UNUSED", "dose", 1.0),
+        ],
+        "bnf_code string, unit_of_measure string, adq_per_quantity double",
+    ).selectExpr(
+        "*", "'' AS name", "1D AS form_size", "1D AS adq_value", "'' AS adq_denominator",
+        "'' AS quantity_denominator",
+    )
+    comparison = usage_comparison(provided, presentations)
+    assert comparison.count() == 6
+    delta = usage_delta(comparison)
+    assert {r.bnf_code for r in delta.collect()} == {"1001010J0AABHBH", "SACHET", "PATCH", "SPRAY"}
+    assert {r.bnf_code for r in high_usage(delta).collect()} == {"1001010J0AABHBH"}
+    assert qa_summary(comparison).first().asDict() == {
+        "n_total": 6, "n_delta": 4, "n_uncomputed": 1, "n_patch": 1, "n_unit_dose": 1,
+        "n_ibuprofen": 1, "n_high": 1, "n_sachet": 1, "pct": 67.0,
+    }
+    assert qa_summary(comparison.where("false")).first().pct is None
+
+
+def test_links(spark):
+    html = """
+      <p>Jan <a href="/x/no.xls">see</a><A class='c' HREF='/f/PCA%20Jan%202018.xls'>Jan 2018</a>
+      <a href="http://other/Sept.xlsx?a=1&amp;b=2">Sept 2017</a><a href="/f/Feb.pdf">Feb</a>
+      <!-- <a href="/old.xls">Mar</a> --><script>"<a href='/s.xls'>Apr</a>"</script>
+      <a name="Jun">Jun</a><a href="/m.xls">  May</a><abbr href="/a.xls">Jul</abbr>
+      <a
+        href="/n.xls">Aug</a>"""
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    links = link_file_names(page_links(pages, "https://host"))
+    assert sorted((r.link_text, r.url, r.file_name) for r in links.collect()) == [
+        ("Aug", "https://host/n.xls", "n.xls"),
+        ("Jan 2018", "https://host/f/PCA%20Jan%202018.xls", "PCA_Jan_2018.xls"),
+        ("Sept 2017", "http://other/Sept.xlsx?a=1&b=2", "Sept.xlsx"),
+    ]
+
+
+def test_options_of_the_whole_computation(spark):
+    products = spark.createDataFrame(
+        [
+            ("A", "a", 1, "Capsule", "Discrete", 1.0, "capsule", "capsule", 50.0, "mg", None, None, 1),
+            ("B", "b", 2, "Oral suspension", "Continuous", None, None, None, 20.0, "mg", 1.0, "ml", 1),
+            ("C", "c", 3, "Capsule", "Discrete", 1.0, "capsule", "capsule", 50.0, "mg", None, None, 1),
+        ],
+        schemas.PRODUCTS,
+    )
+    squs = spark.createDataFrame([("A", "unit"), ("A", "ml")], schemas.SQUS)
+    sheet = spark.createDataFrame(
+        [("A", "A 50mg", "100", "mg"), ("B", "B(7D)", "1", "Gramme"), ("Z", "z", "1", "g")],
+        schemas.ADQ_SHEET,
+    )
+    left = computed_adqs(adq_inputs(products, squs, sheet))
+    assert sorted((r.bnf_code, r.quantity_denominator, r.adq_per_quantity) for r in left.collect()) == [
+        ("A", "ml", 0.5), ("A", "unit", 0.5), ("B", "ml", 0.14),
+    ]
+    inner = adq_inputs(products, squs, sheet, squ_join="inner")
+    assert {r.bnf_code for r in inner.collect()} == {"A"}
+    collapsed = adq_by_presentation(left)
+    assert sorted(r.bnf_code for r in collapsed.collect()) == ["A", "B"]
