@@ -97,7 +97,7 @@ RELATIONS = {
                                             WHEN 2 THEN 3 ELSE 6 END END AS squ_code,
                CASE WHEN l_linenumber = 7 AND l_suppkey % 5 = 0 THEN NULL
                     ELSE l_linenumber END AS preparation_class,
-               cast(date_trunc('month', l_shipdate) AS date) AS month
+               make_date(year(l_shipdate), month(l_shipdate), 1) AS month
         FROM {lineitem}""",
     "prescribing": """
         SELECT cast(l_suppkey AS string) AS Practice_Code,

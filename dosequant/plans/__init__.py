@@ -5,5 +5,6 @@ from dosequant.plans.presentations import (
     adq_inputs,
     computed_adqs,
 )
+from dosequant.plans.release import Release
 
-__all__ = ["adq_by_presentation", "adq_inputs", "computed_adqs"]
+__all__ = ["Release", "adq_by_presentation", "adq_inputs", "computed_adqs"]

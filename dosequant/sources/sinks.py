@@ -2,7 +2,12 @@
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+
+def dated_path(path: str, run_date: date) -> str:
+    """The folder of one run date, which readers of `path` see as a partition."""
+    return f"{path}/run_date={run_date.isoformat()}"
 
 
 def write_dated(
@@ -10,16 +15,11 @@ def write_dated(
 ) -> None:
     """Write `df` as the `run_date` partition of the table at `path`.
 
-    Running a day again replaces that day only. CSV files get headings; no row
-    index is written, as rows of a distributed table have no position.
+    Running a day again replaces that day only, also if nothing is left to write.
+    CSV files get headings; no row index is written, as rows of a distributed
+    table have no position.
     """
-    writer = (
-        df.withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
-        .format(file_format)
-    )
+    writer = df.write.mode("overwrite").format(file_format)
     if file_format == "csv":
         writer = writer.option("header", True).option("escape", '"')
-    writer.save(path)
+    writer.save(dated_path(path, run_date))

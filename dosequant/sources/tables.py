@@ -50,8 +50,10 @@ def read_adq_sheet(spark: SparkSession, path: str, schema: StructType) -> DataFr
 def month_of_file(file_name: Column) -> Column:
     """First day of the month named in a file name (`PCA_Sept_2018`), else NULL."""
     found = rf"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[^a-z0-9]*(\d{{4}})"
-    month = F.initcap(F.regexp_extract(file_name, found, 1))
-    year = F.regexp_extract(file_name, found, 2)
+    # File names come with spaces written as %20.
+    name = F.replace(file_name, F.lit("%20"), F.lit(" "))
+    month = F.initcap(F.regexp_extract(name, found, 1))
+    year = F.regexp_extract(name, found, 2)
     stamp = F.try_to_timestamp(F.concat_ws(" ", month, year), F.lit("MMM yyyy"))
     return stamp.cast("date")
 

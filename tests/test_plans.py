@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dosequant import schemas
 from dosequant.checks.registry import QUERIES
-from dosequant.operators import practice_usage, squ_latest, squ_pairs
+from dosequant.operators import practice_usage, product_details, squ_latest, squ_pairs
 from dosequant.operators.skew import join_apart
 from dosequant.plans import adq_by_presentation, adq_inputs, computed_adqs
 
@@ -127,6 +127,53 @@ def test_hot_product_code_is_split(spark, set_conf):
     found = {r.bnf_code: r.name for r in collapsed.collect()}
     assert found["hot"] == "n0" and len(found) == codes.count()
 
+def test_hot_dictionary_keys_are_split(spark, set_conf):
+    """One medicinal product has a third of all strengths, another of all products."""
+    set_conf(**SKEWED)
+    product = spark.range(30_000).selectExpr(
+        "concat('c', id) AS bnf_code", "sha1(cast(id AS string)) AS name",
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 997 END AS vpid",
+    ).where("vpid <> 2").repartition(8)
+    vpi = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 2 ELSE id % 499 + 10 END AS vpid",
+        "id / 7 AS strnt_nmrtr_val", "id % 2 AS strnt_nmrtr_uomcd",
+        "cast(id AS double) AS strnt_dnmtr_val", "1L AS strnt_dnmtr_uomcd",
+    ).unionByName(
+        spark.range(5).selectExpr(
+            "1L AS vpid", "id / 3 AS strnt_nmrtr_val", "0L AS strnt_nmrtr_uomcd",
+            "1D AS strnt_dnmtr_val", "1L AS strnt_dnmtr_uomcd",
+        )
+    )
+    product = product.unionByName(
+        spark.range(3).selectExpr("concat('h', id) AS bnf_code", "'hot' AS name", "2L AS vpid")
+    )
+    vmp = spark.range(997).selectExpr(
+        "id AS vpid", "1 AS df_indcd", "1D AS udfs", "0L AS udfs_uomcd", "1L AS unit_dose_uomcd"
+    )
+    dform = spark.range(997).selectExpr("id AS vpid", "id % 2 AS formcd")
+
+    def lookup(*texts):
+        return spark.createDataFrame(list(enumerate(texts)), schemas.DMD_LOOKUP)
+
+    details = product_details(
+        product, vmp, vpi, dform, lookup("Capsule", "Cream"), lookup("a", "Discrete"),
+        lookup("mg", "ml"),
+    )
+    plan = finished(details)
+    assert plan.count("SortMergeJoin(skew=true)") >= 2
+    for name, df in {"product": product, "vmp": vmp, "vpi": vpi, "dform": dform}.items():
+        df.createOrReplaceTempView(f"hot_{name}")
+    expected = spark.sql("""
+        SELECT count(*) AS n, sum(hash(bnf_code, name, p.vpid, strnt_nmrtr_val, strnt_dnmtr_val, c.n))
+        FROM hot_product p JOIN hot_vmp USING (vpid) JOIN hot_dform USING (vpid)
+        LEFT JOIN hot_vpi i ON i.vpid = p.vpid
+        LEFT JOIN (SELECT vpid, count(*) AS n FROM hot_vpi GROUP BY vpid) c ON c.vpid = p.vpid""")
+    found = details.agg(
+        F.count("*"),
+        F.sum(F.hash("bnf_code", "name", "vpid", "numerator", "denominator", "ingredient_count")),
+    )
+    assert tuple(found.first()) == tuple(expected.first())
+
 
 def test_all_queries_agree_without_broadcasts(spark, set_conf):
     names = ("product_details", "adq_by_presentation", "practice_usage", "qa_summary")
