@@ -201,6 +201,21 @@ def test_first_non_null_mixes_rows(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("A", 5.0, "x"), ("B", None, None)]
 
 
+def test_first_values_do_not_depend_on_layout(spark):
+    rows = spark.range(5_000).selectExpr(
+        "id % 20 AS k",
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 11 END AS a",
+        "CASE WHEN id % 400 < 300 THEN NULL ELSE hash(id) END AS b",
+        "hash(id, 'o') AS o",
+    )
+    found = [
+        sorted(map(tuple, first_non_null(laid_out, "k", ["a", "b"], ["o", "a", "b"]).collect()))
+        for laid_out in (rows, rows.orderBy(F.rand(1)).repartition(7), rows.coalesce(1))
+    ]
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == 20
+
+
 def test_preview_and_field_values(spark):
     rows = spark.createDataFrame(
         [("b", "Discrete", None), ("a", "Continuous", "ml"), ("c", None, "capsule"),

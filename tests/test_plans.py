@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from dosequant import schemas
 from dosequant.checks.registry import QUERIES
-from dosequant.operators import practice_usage, product_details, squ_latest, squ_pairs
+from dosequant.operators import (
+    practice_usage,
+    product_details,
+    representative_presentation,
+    squ_latest,
+    squ_pairs,
+)
 from dosequant.operators.skew import join_apart
 from dosequant.plans import adq_by_presentation, adq_inputs, computed_adqs
 
@@ -52,6 +58,8 @@ def test_columns_and_filters_reach_the_scan(spark, tmp_path):
     figures = spark.createDataFrame([("A", 1.0)], "bnf_code string, adq_per_quantity double")
     plan = planned(practice_usage(spark.read.parquet(path), figures))
     assert "ReadSchema: struct<Practice_Code:string,BNF_Code:string,Items:bigint,Quantity:bigint>" in plan
+    plan = planned(representative_presentation(spark.read.parquet(path)))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(ADQ_Usage,0.0\)", plan)
     dispensing = str(tmp_path / "dispensing")
     spark.createDataFrame([("A", 1, 1, None)], schemas.DISPENSING).write.parquet(dispensing)
     plan = planned(squ_pairs(spark.read.parquet(dispensing)))
