@@ -9,8 +9,14 @@ from pyspark.sql import Column, functions as F
 from dosequant.fixed_values import NULL_TOKENS, RUN_DATE_FORMAT, WHITESPACE
 
 
+def sql_text(value: str) -> str:
+    """A text as a SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def sql_list(values) -> str:
-    return ", ".join("'" + value.replace("'", "''") + "'" for value in values)
+    return ", ".join(sql_text(value) for value in values)
 
 
 def stripped_sql(text: str) -> str:

@@ -4,7 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType
 
 from dosequant.functions.doses import dose_from_name
-from dosequant.functions.text import null_if_token, number_sql, real_sql
+from dosequant.functions.text import (
+    null_if_token,
+    number_sql,
+    real_sql,
+    sql_text,
+)
 from dosequant.functions.units import clean_unit_sql, normal_unit, scaled_number
 from dosequant.schemas import ADQ_SHEET
 
@@ -21,12 +26,17 @@ def normalise_units(
     plain, normal = {}, {}
     for number, unit in measures:
         is_text = isinstance(df.schema[number].dataType, StringType)
-        value = number_sql(number) if is_text else real_sql(number)
-        label = unit if null_unit is None else f"coalesce({unit}, '{null_unit}')"
+        value = number_sql(f"`{number}`") if is_text else real_sql(f"`{number}`")
+        label = f"`{unit}`"
+        if null_unit is not None:
+            label = f"coalesce({label}, {sql_text(null_unit)})"
         plain |= {number: value, unit: clean_unit_sql(label)}
-        normal |= {number: scaled_number(number, unit), unit: normal_unit(unit)}
-    # Read the cells first, so that the rules below see plain columns.
-    cells = [f"{plain[c]} AS {c}" if c in plain else f"`{c}`" for c in df.columns]
+        normal |= {
+            number: scaled_number(f"`{number}`", f"`{unit}`"),
+            unit: normal_unit(f"`{unit}`"),
+        }
+    # Read the cells first, so that the rules see plain columns.
+    cells = [f"{plain.get(c, f'`{c}`')} AS `{c}`" for c in df.columns]
     return df.selectExpr(*cells).withColumns(normal)
 
 

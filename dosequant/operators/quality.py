@@ -8,7 +8,12 @@ from dosequant.fixed_values import (
     PRESENTATION_COLUMNS,
     SQU_LABELS,
 )
-from dosequant.functions.text import null_if_token, number_sql, rounded_to_tenth
+from dosequant.functions.text import (
+    null_if_token,
+    number_sql,
+    rounded_to_tenth,
+    sql_text,
+)
 from dosequant.operators.prescribing import usage
 from dosequant.schemas import ADQ_SHEET
 
@@ -52,7 +57,7 @@ def qa_summary(
         "n_uncomputed": "adq_per_quantity IS NULL",
         "n_patch": "unit_of_measure = 'patch'",
         "n_unit_dose": "unit_of_measure IN ('unit dose', 'dose')",
-        "n_ibuprofen": f"bnf_code RLIKE r'{ibuprofen_pattern}'",
+        "n_ibuprofen": f"bnf_code RLIKE {sql_text(ibuprofen_pattern)}",
         "n_high": f"their_adq_usage > {above}",
         "n_sachet": "unit_of_measure = 'sachet'",
     }

@@ -25,5 +25,5 @@ def join_apart(
     if how == "inner":
         left = left.where(F.col(key).isNotNull())
     right = right.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
-    match = F.expr(f"struct('{step}', {key}) = struct('{step}', _key)")
+    match = F.expr(f"struct('{step}', `{key}`) = struct('{step}', _key)")
     return left.join(right, match, how).drop("_key")

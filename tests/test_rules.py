@@ -88,6 +88,12 @@ def test_normalising_twice_changes_nothing(spark):
     assert normalise_units(once, ("number", "unit")).collect() == once.collect()
 
 
+def test_any_column_name_and_text(spark):
+    rows = spark.createDataFrame([("5", "mg"), ("6", None)], "`the number` string, `a unit` string")
+    found = normalise_units(rows, ("the number", "a unit"), null_unit="o'clock\\").collect()
+    assert [tuple(r) for r in found] == [(0.005, "g"), (6.0, "o'clock\\")]
+
+
 def test_missing_unit_option(spark):
     rows = spark.createDataFrame([("1", None)], "number string, unit string")
     found = normalise_units(rows, ("number", "unit"), null_unit="nan").first()
