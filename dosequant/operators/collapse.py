@@ -30,7 +30,8 @@ def preview(df: DataFrame, key, rows: int = 5) -> DataFrame:
 def field_values(products: DataFrame) -> DataFrame:
     """The values of the two form fields, each as one text in sorted order.
 
-    Products without form units count as having blank ones.
+    Products without form units count as having blank ones. Both fields come from
+    lookup tables, which bounds what the listing has to hold.
     """
     def listed(value: str) -> Column:
         return F.expr(f"concat_ws(', ', array_sort(collect_set({value})))")

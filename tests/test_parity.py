@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from dosequant.checks.registry import Inputs
 
 DATA = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("part", "lineitem", "pages")
@@ -40,6 +41,15 @@ def test_every_query_has_sql():
     assert set(entry_points.queries()) == set(entry_points.oracle_sql())
 
 
+def test_one_representative_row_per_code_with_usage(spark):
+    rows = Inputs(spark, DATA).relation("prescribing")
+    codes = rows.where("ADQ_Usage > 0").select("BNF_Code").distinct()
+    found = entry_points.queries()["representative_presentation"](spark, DATA)
+    assert found.count() == codes.count()
+    assert found.select("BNF_Code").distinct().exceptAll(codes).isEmpty()
+    assert found.exceptAll(rows.select(*found.columns)).isEmpty()
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.where("adq_per_quantity IS NOT NULL").count() > 0
