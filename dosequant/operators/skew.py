@@ -22,8 +22,8 @@ def join_apart(
     A left join keeps rows without a key. In no join do missing keys match, which
     structs around them would do.
     """
+    match = f"struct('{step}', `{key}`) = struct('{step}', _key) AND _key IS NOT NULL"
     if how == "inner":
-        left = left.where(F.col(key).isNotNull())
-    right = right.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
-    match = F.expr(f"struct('{step}', `{key}`) = struct('{step}', _key)")
-    return left.join(right, match, how).drop("_key")
+        match += f" AND `{key}` IS NOT NULL"
+    right = right.withColumnRenamed(key, "_key")
+    return left.join(right, F.expr(match), how).drop("_key")
