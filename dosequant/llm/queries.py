@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import quality_rules
+from dosequant.llm import labelled, quality_rules, rule_ensemble, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = labelled.training_rows(documents, table(spark, sf_dir, "labels"), "quality")
+    scored = rule_ensemble.score_quality(documents, rule_ensemble.fit(training))
+    held_out = labelled.is_held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge_quality(documents)
@@ -23,8 +31,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = labelled.training_rows(documents, table(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.score_toxicity(documents, toxicity.fit(training))
+    held_out = labelled.is_held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted", "n_hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
