@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import labelled, quality_rules, rule_ensemble, toxicity
+from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages)
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     training = labelled.training_rows(documents, table(spark, sf_dir, "labels"), "quality")
@@ -40,6 +45,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_html_text": op4_html_text,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
