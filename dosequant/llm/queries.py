@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, toxicity
+from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages)
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = winnowing.shared_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return shared.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     training = labelled.training_rows(documents, table(spark, sf_dir, "labels"), "quality")
@@ -46,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
+    "op5_winnowing": op5_winnowing,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
@@ -53,7 +68,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
+_WORDS5 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
 ORACLES: dict[str, str] = {
+    "op5_winnowing": f"""
+WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS5} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n,
+          unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d, (SELECT DISTINCT n FROM bw))
+), hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit
+  FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op9_quality_rules": rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
