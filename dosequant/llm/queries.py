@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, toxicity, winnowing
+from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, suffix_dedup, toxicity, window_dedup, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = window_dedup.remove_repeated_windows(documents)
+    return cut.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages)
@@ -40,6 +48,19 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeated_bytes(documents)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge_quality(documents)
@@ -59,9 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_window_dedup": op3_window_dedup,
     "op4_html_text": op4_html_text,
     "op5_winnowing": op5_winnowing,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
@@ -73,6 +96,25 @@ _WORDS5 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
 ORACLES: dict[str, str] = {
+    "op3_window_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(0, 13)) AS k)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op5_winnowing": f"""
 WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS5} AS w FROM benchmark),
