@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, suffix_dedup, toxicity, window_dedup, winnowing
+from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, simhash, suffix_dedup, toxicity, window_dedup, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = window_dedup.remove_repeated_windows(documents)
@@ -80,6 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_window_dedup": op3_window_dedup,
     "op4_html_text": op4_html_text,
     "op5_winnowing": op5_winnowing,
