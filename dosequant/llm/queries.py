@@ -6,7 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosequant.llm import html_text, labelled, quality_rules, rule_ensemble, simhash, suffix_dedup, toxicity, window_dedup, winnowing
+from dosequant.llm import (
+    html_text,
+    labelled,
+    link_trust,
+    quality_rules,
+    rule_ensemble,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    unigram,
+    window_dedup,
+    winnowing,
+)
+
+#: The rules of the URL filter.
+URL_RULES = (
+    link_trust.Rule("block", "net", "/"),
+    link_trust.Rule("allow", "example.net", "/en/"),
+    link_trust.Rule("block", "example.com", "/de/"),
+    link_trust.Rule("allow", "org", "/fr/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +37,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = window_dedup.remove_repeated_windows(documents)
@@ -52,6 +76,20 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = unigram.with_ids(
+        documents.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)),
+        unigram.Vocabulary.load(), decoded="decoded",
+    )
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("_sha")).alias("same_text"),
+    )
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix_dedup.remove_repeated_bytes(documents)
@@ -85,10 +123,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_link_trust": op2_link_trust,
     "op3_window_dedup": op3_window_dedup,
     "op4_html_text": op4_html_text,
     "op5_winnowing": op5_winnowing,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_unigram": op7_unigram,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
