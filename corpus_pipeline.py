@@ -1,13 +1,106 @@
-"""From raw documents to token ids: five stages, each one operator of dosequant.llm."""
+"""From raw documents to token ids: five stages, each one operator of dosequant.llm.
+
+Every stage takes the documents that its predecessor kept, whole, and returns rows
+with the same columns; the last one adds token ids. Further columns of the documents
+go along, whatever their names. Rows without an id are never merged with others.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from dosequant.llm import (
+    labelled,
+    rule_ensemble,
+    simhash,
+    suffix_dedup,
+    unigram,
+    winnowing,
+)
+from dosequant.llm.storage import written
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside id and text, apart from names used on the way."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
+
+
+def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """The packed rows with another text and its length in n_chars, if they have it."""
+    replaced = {"text": F.col(text)}
+    if "n_chars" in columns:
+        replaced["n_chars"] = F.length(text).cast("long")
+    return docs.select(*[replaced.get(c, F.col(f"_document.`{c}`")).alias(c) for c in columns])
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble takes for good; null texts count as empty."""
+    training = labelled.training_rows(docs, _table(spark, sf_dir, "labels"), "quality")
+    scored = rule_ensemble.score_quality(_packed(docs), rule_ensemble.fit(training))
+    return scored.where("predicted = 1").select("_document.*")
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the least id, once."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    least = groups.where("doc_id = component_id").select("doc_id").distinct()
+    packed = _packed(docs)
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = packed.join(least, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    nameless = packed.where("doc_id IS NULL")
+    return kept.select("_document.*").unionByName(nameless.select("_document.*"))
+
+
+def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occur twice; documents that consist of
+    such strings only go. A character cut in two goes as a whole."""
+    cut = suffix_dedup.remove_repeated_bytes(_packed(docs), as_text=True)
+    whole = (F.size("removed") == 0) | (F.trim("kept_text") != "")
+    return _with_text(cut.where(whole), "kept_text", docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    keyed = _packed(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
+    shared = winnowing.shared_passages(
+        keyed.select("_key", "text"), _table(spark, sf_dir, "benchmark"), doc_id="_key"
+    )
+    shared = shared.where("n_hit > 0").select("_key").distinct()
+    return keyed.join(shared, "_key", "left_anti").select("_document.*")
+
+
+def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, their number, and the text decoded from them."""
+    packed = _packed(docs).select("text", "_document")
+    coded = unigram.with_ids(packed, unigram.Vocabulary.load(), decoded="_decoded")
+    columns = [c for c in docs.columns if c not in ("ids", "n_ids")]
+    texts = {"text": F.col("_decoded")}
+    return coded.select(
+        *[texts.get(c, F.col(f"_document.`{c}`")).alias(c) for c in columns],
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("quality_classifier", keep_good_quality),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("suffix_array_dedup", cut_repeated_bytes),
+    ("benchmark_decontamination", drop_benchmark_passages),
+    ("sentencepiece", to_token_ids),
+]
+
+#: SQL cannot express the learned classifier and the segmentation.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each on the written rows of the one before."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

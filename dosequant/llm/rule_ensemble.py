@@ -136,7 +136,7 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
             "label", *[F.expr(f"CAST({rule_sql(p)} AS DOUBLE)").alias(c) for c, p in zip(names, paths)]
         )
         fired = VectorAssembler(inputCols=names, outputCol="features").transform(fired)
-        model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60, tol=1e-5).fit(
+        model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=30, tol=1e-4).fit(
             fired.select("label", "features")
         )
         weights = [float(w) for w in model.coefficients.toArray()]

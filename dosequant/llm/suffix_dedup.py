@@ -277,7 +277,7 @@ def equal_byte_runs(df: DataFrame, size: int = SIZE, qgram: int = QGRAM) -> Data
     )
 
 
-def _cut(size: int, names: list[str]):
+def _cut(size: int, names: list[str], as_text: bool):
     span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def run(batches):
@@ -297,24 +297,28 @@ def _cut(size: int, names: list[str]):
                 total.append(len(text))
                 spans.append([{"from": a, "to": b} for a, b in removed])
             columns = [column(n) for n in names]
-            columns += [pa.array(total, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "removed", "kept_bytes"])
+            rest = pa.array([x.decode("utf-8", "ignore") for x in kept] if as_text else kept, pa.string() if as_text else pa.binary())
+            columns += [pa.array(total, pa.int64()), pa.array(spans, span), rest]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "removed", "kept_text" if as_text else "kept_bytes"])
 
     return run
 
 
 def remove_repeated_bytes(
-    df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SIZE, qgram: int = QGRAM
+    df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = SIZE, qgram: int = QGRAM,
+    as_text: bool = False,
 ) -> DataFrame:
     """Each row of `df` with `n_bytes`, `removed` (maximal runs [from, to) of bytes)
-    and `kept_bytes` (the other bytes, in order), without `text`.
+    and `kept_bytes` (the other bytes, in order), without `text`. With `as_text`
+    the latter is `kept_text`, without characters of which only a part is left.
 
     A byte goes if a string of `size` bytes that covers it also starts anywhere else,
     in the same row too; all occurrences go. Null and empty texts have no bytes.
     `key` names the columns that tell rows with equal texts apart; rows equal in
     those and the text, repeated rows that is, have the same outcome.
     """
-    df = df.drop("n_bytes", "removed", "kept_bytes")
+    rest = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
+    df = df.drop("n_bytes", "removed", rest.name)
     row = F.xxhash64(*[F.col(f"`{c}`") for c in key], F.col(f"`{text}`"))
     found = equal_byte_runs(df.select(row.alias("row"), F.col(f"`{text}`").alias("text")), size, qgram)
     found = found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
@@ -323,9 +327,9 @@ def remove_repeated_bytes(
     schema = T.StructType(
         [*kept, T.StructField("n_bytes", T.LongType()),
          T.StructField("removed", T._parse_datatype_string("array<struct<from:int,to:int>>")),
-         T.StructField("kept_bytes", T.BinaryType())]
+         rest]
     )
     joined = df.withColumn("_row", row).join(found.withColumnRenamed("row", "_row"), "_row", "left")
     return joined.select(*[f"`{n}`" for n in names], F.col(f"`{text}`").alias("text"), "_runs").mapInArrow(
-        _cut(size, names), schema
+        _cut(size, names, as_text), schema
     )
