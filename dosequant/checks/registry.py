@@ -84,7 +84,11 @@ def doses(i: Inputs) -> DataFrame:
 
 
 def strengths(i: Inputs) -> DataFrame:
-    return i.adqs().select(
+    """Of every name in the sheet, also those without a value."""
+    units = ops.normalise_units(
+        i.relation("adq_sheet"), ("adq_value", "adq_denominator"), null_unit=""
+    )
+    return units.select(
         "bnf_code",
         "bnf_name",
         "adq_denominator",

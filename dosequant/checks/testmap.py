@@ -30,7 +30,7 @@ RELATIONS = {
                CASE WHEN l_quantity <= 3 THEN l_partkey ELSE -l_partkey END AS vpid,
                l_linenumber AS ingredient,
                cast(l_linenumber AS double) * cast(1.5 AS double) AS strnt_nmrtr_val,
-               (l_partkey + l_linenumber) % 7 AS strnt_nmrtr_uomcd,
+               (l_partkey + l_linenumber) % 11 AS strnt_nmrtr_uomcd,
                cast(1 AS double) AS strnt_dnmtr_val,
                (l_partkey * 3 + l_linenumber) % 9 AS strnt_dnmtr_uomcd
         FROM {lineitem}""",
@@ -93,11 +93,13 @@ RELATIONS = {
                     THEN concat('Z', cast(l_partkey AS string))
                     ELSE concat('B', cast(l_partkey AS string)) END AS bnf_code,
                CASE WHEN l_suppkey % 53 = 1 THEN 9
+                    WHEN l_suppkey % 59 = 2 THEN NULL
                     ELSE CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1
                                             WHEN 2 THEN 3 ELSE 6 END END AS squ_code,
                CASE WHEN l_linenumber = 7 AND l_suppkey % 5 = 0 THEN NULL
                     ELSE l_linenumber END AS preparation_class,
-               make_date(year(l_shipdate), month(l_shipdate), 1) AS month
+               CASE WHEN l_suppkey % 61 = 3 THEN NULL
+                    ELSE make_date(year(l_shipdate), month(l_shipdate), 1) END AS month
         FROM {lineitem}""",
     "prescribing": """
         SELECT cast(l_suppkey AS string) AS Practice_Code,

@@ -1,6 +1,6 @@
 """Unit normalisation of whole tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from dosequant.functions.doses import dose_from_name
@@ -40,12 +40,19 @@ def normalise_units(
     return df.selectExpr(*cells).withColumns(normal)
 
 
-def normalised_products(products: DataFrame) -> DataFrame:
-    """The product table with strengths in normal units."""
+def normalised_products(products: DataFrame, null_unit: str | None = None) -> DataFrame:
+    """The product table with strengths in normal units.
+
+    A missing unit stays missing unless `null_unit` names what to read instead. A
+    form size that is not a number is missing, as other numbers are.
+    """
+    if "form_size" in products.columns:
+        products = products.withColumn("form_size", F.expr(real_sql("form_size")))
     return normalise_units(
         products,
         ("numerator", "numerator_unit_of_measure"),
         ("denominator", "denominator_unit_of_measure"),
+        null_unit=null_unit,
     )
 
 

@@ -45,25 +45,42 @@ def practice_usage(
     """ADQs prescribed per practice, over the whole prescribing table.
 
     `presentations` holds one row per code with its adq_per_quantity. Rows whose
-    code it lacks, or has no figure for, are counted in n_uncomputed.
+    code it lacks, or has no figure for, or whose quantity or items are missing,
+    are counted in n_uncomputed.
 
-    Usage is summed in whole millionths of an ADQ, so that the total does not
+    The table is reduced to one row per practice and code before its first
+    shuffle; quantities are whole numbers, so their sums are exact, and a sum
+    beyond the range of a long fails. What is left per practice, at most a row per
+    code with a figure, is added up in ascending order, so that the total does not
     depend on the order in which executors deliver their parts.
     """
     figures = presentations.select("bnf_code", "adq_per_quantity")
-    rows = prescribing.select(
-        *by, F.col("BNF_Code").alias("bnf_code"), "Items", "Quantity"
+    amounts = prescribing.groupBy(*by, F.col("BNF_Code").alias("bnf_code")).agg(
+        F.expr("count(*)").alias("n"),
+        F.expr("count(Quantity * Items)").alias("n_known"),
+        F.expr("sum(Quantity * Items)").alias("amount"),
     )
     return (
-        join_apart(rows, figures, "bnf_code", how="left")
-        .select(*by, F.rint(usage() * F.lit(1e6)).try_cast("bigint").alias("millionths"))
+        join_apart(amounts, figures, "bnf_code", how="left")
+        .select(
+            *by,
+            "n",
+            F.expr("IF(adq_per_quantity IS NULL, n, n - n_known)").alias("n_missing"),
+            F.expr("amount * adq_per_quantity").alias("usage"),
+        )
         .groupBy(*by)
         .agg(
-            F.expr("count(*)").alias("n_rows"),
-            F.expr("count_if(millionths IS NULL)").alias("n_uncomputed"),
-            F.expr("cast(sum(cast(millionths AS decimal(20, 0))) AS double) / 1e6D").alias(
-                "adq_usage"
-            ),
+            F.expr("sum(n)").alias("n_rows"),
+            F.expr("sum(n_missing)").alias("n_uncomputed"),
+            F.array_sort(F.collect_list("usage")).alias("usages"),
+        )
+        .select(
+            *by,
+            "n_rows",
+            "n_uncomputed",
+            F.expr(
+                "CASE WHEN size(usages) > 0 THEN aggregate(usages, 0D, (a, x) -> a + x) END"
+            ).alias("adq_usage"),
         )
     )
 

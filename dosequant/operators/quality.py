@@ -77,9 +77,11 @@ def qa_summary(
 def reject_report(sheet: DataFrame, dispensing: DataFrame) -> DataFrame:
     """How many input cells the rules had to turn into NULL, per kind of cell.
 
-    An unreadable or zero ADQ value gives no figure, and a dispensing row with an
-    unknown unit code no SQU. A caller who wants such input to fail can check
-    that every count is 0.
+    An unreadable or zero ADQ value gives no figure. A dispensing row with an
+    unknown unit code, or with one that could not be read, gives no SQU, and one
+    without a month ranks below all dated ones. A caller who wants such input to
+    fail can check that every count is 0. What readers leave out of their tables is
+    in `sources.monthly_rejects` and `sources.unreadable_cells`.
     """
     text = "cast(adq_value AS string)"
     sheet_counts = (
@@ -93,7 +95,9 @@ def reject_report(sheet: DataFrame, dispensing: DataFrame) -> DataFrame:
         )
     )
     dispensing_counts = dispensing.agg(
-        F.count_if(~F.col("squ_code").isin(*SQU_LABELS)).alias("squ_code_unknown")
+        F.count_if(~F.col("squ_code").isin(*SQU_LABELS)).alias("squ_code_unknown"),
+        F.count_if(F.col("squ_code").isNull()).alias("squ_code_unreadable"),
+        F.count_if(F.col("month").isNull()).alias("month_missing"),
     )
 
     def as_rows(counts: DataFrame) -> DataFrame:

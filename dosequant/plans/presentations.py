@@ -28,13 +28,15 @@ def adq_inputs(
 
     Products without an ADQ are dropped. With `squ_join="inner"` so are those
     without an SQU; by default their quantity unit is inferred from the form.
+    A missing ADQ unit is read as `null_unit`; if that is a text other than blank,
+    so are missing units of products, and two missing units are the same then.
 
     The two tables with few rows per code are joined first, so that the product
     table, with its many, takes part in one join only.
     """
     adqs = normalised_adqs(adq_sheet, null_unit)
     per_code = adqs.join(squs.select("bnf_code", "squ"), "bnf_code", squ_join)
-    return join_apart(normalised_products(products), per_code, "bnf_code")
+    return join_apart(normalised_products(products, null_unit or None), per_code, "bnf_code")
 
 
 def computed_adqs(inputs: DataFrame) -> DataFrame:
