@@ -1,6 +1,6 @@
 """Links to monthly files in index pages, for whole tables of pages."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dosequant.fixed_values import MONTH_PREFIXES, SHEET_EXTENSION
 from dosequant.functions.text import file_name_of_url
@@ -9,9 +9,28 @@ from dosequant.functions.text import file_name_of_url
 NOT_CONTENT = (
     r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 )
-ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["'][^"'>]*["'][^>]*>[^<]*"""
-ANCHOR_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']"""
-ANCHOR_TEXT = r">([^<]*)$"
+# An opening tag with its attributes, and what follows up to the end of the link.
+ANCHOR = (
+    r"""(?is)<a(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)(?=</a\b|<a\s|$)"""
+)
+# Attributes before href, then its value in quotes of either kind or in none.
+HREF = (
+    r"""(?is)^(?:[\s/]+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+"""
+    r"""[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+)
+# The first text of the link's own, after any elements in front of it.
+OWN_TEXT = (
+    r"(?is)^(?:<([a-z][a-z0-9]*)\b[^>]*>.*?</\1\s*>|<(?:br|hr|img|wbr)\b[^>]*>)*+([^<]+)"
+)
+# Decoded last to first, so that an escaped reference stays one.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """The text with the common character references spelled out."""
+    for reference, character in REFERENCES.items():
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
 
 
 def page_links(
@@ -22,11 +41,14 @@ def page_links(
 ) -> DataFrame:
     """Links whose text begins with one of `prefixes` and whose address holds
     `contains`; addresses not beginning with http get `host` in front.
+
+    A link's text is the first text directly in it; elements in front of that may
+    hold other elements, but not of their own kind.
     """
     content = F.regexp_replace("html", NOT_CONTENT, "")
-    href = F.replace(
-        F.regexp_extract("anchor", ANCHOR_HREF, 1), F.lit("&amp;"), F.lit("&")
-    )
+    attributes = F.regexp_extract("anchor", ANCHOR, 1)
+    inside = F.regexp_extract("anchor", ANCHOR, 2)
+    href = F.concat(*[F.regexp_extract("attributes", HREF, i) for i in (1, 2, 3)])
     begins = F.lit(False)
     for prefix in prefixes:
         begins = begins | F.col("link_text").startswith(prefix)
@@ -39,9 +61,10 @@ def page_links(
         )
         .select(
             "page_id",
-            F.regexp_extract("anchor", ANCHOR_TEXT, 1).alias("link_text"),
-            href.alias("href"),
+            decoded(F.regexp_extract(inside, OWN_TEXT, 2)).alias("link_text"),
+            attributes.alias("attributes"),
         )
+        .select("page_id", "link_text", decoded(href).alias("href"))
         .where(begins & F.col("href").contains(contains))
         .select(
             "page_id",

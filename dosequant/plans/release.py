@@ -1,8 +1,11 @@
 """A whole run: every table of one release, written and read back in turn."""
 
+import time
+import uuid
+from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosequant.operators.dispensing import squ_latest
 from dosequant.operators.prescribing import practice_usage, representative_presentation
@@ -15,7 +18,7 @@ from dosequant.operators.quality import (
     usage_delta,
 )
 from dosequant.plans.presentations import adq_by_presentation, adq_inputs, computed_adqs
-from dosequant.sources.sinks import dated_path, write_dated
+from dosequant.sources.sinks import dated_path
 
 
 class Release:
@@ -24,18 +27,43 @@ class Release:
     Each table is written once and later steps read it from there, so that no step
     computes another's work again and a lost executor costs no more than the tasks
     it was running.
+
+    A run writes below a folder of its own. Its last step adds one row to the list
+    of published runs, and readers take the last run published for the date, so they
+    see all tables of one run or of the one before, also if a run stops half-way.
+    With `csv=True` every table is written as CSV with headings as well.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, run_date: date):
-        self.spark, self.folder, self.run_date = spark, folder, run_date
+    def __init__(self, spark: SparkSession, folder: str, run_date: date, csv: bool = False):
+        self.spark, self.folder, self.run_date, self.csv = spark, folder, run_date, csv
+        self.run_id: str | None = None
+
+    @property
+    def _published(self) -> str:
+        return dated_path(f"{self.folder}/published", self.run_date)
+
+    def path(self, name: str, file_format: str = "parquet") -> str:
+        """Where a table of the run under way is, or else of the last one published."""
+        run_id = self.run_id
+        if run_id is None:
+            runs = self.spark.read.schema("run_id string, published_at long").parquet(self._published)
+            run_id = runs.orderBy(F.desc("published_at"), "run_id").first()["run_id"]
+        return f"{dated_path(f'{self.folder}/runs', self.run_date)}/{run_id}/{file_format}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        path = dated_path(f"{self.folder}/{name}", self.run_date)
-        return self.spark.read.parquet(path)
+        return self.spark.read.parquet(self.path(name))
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        write_dated(df, f"{self.folder}/{name}", self.run_date)
-        return self.read(name)
+        df.write.parquet(self.path(name))
+        kept = self.read(name)
+        if self.csv:
+            kept.write.option("header", True).option("escape", '"').csv(self.path(name, "csv"))
+        return kept
+
+    def publish(self) -> None:
+        row = [(self.run_id, time.time_ns())]
+        rows = self.spark.createDataFrame(row, "run_id string, published_at long")
+        rows.coalesce(1).write.mode("append").parquet(self._published)
 
     def run(
         self,
@@ -45,13 +73,24 @@ class Release:
         adq_sheet: DataFrame,
         squ_join: str = "left",
         null_unit: str | None = "",
+        squs: Callable[[DataFrame], DataFrame] = squ_latest,
     ) -> DataFrame:
-        """Write all tables; the outcome is the one-row quality report.
+        """Write and publish all tables; the outcome is the one-row quality report.
 
-        `dictionary` holds the arguments of `product_details`.
+        `dictionary` holds the arguments of `product_details`. `squs` makes the SQU
+        table of the dispensing rows: `squ_latest`, or `squ_pairs` for every pair.
         """
+        self.run_id = uuid.uuid4().hex
+        try:
+            summary = self._tables(dictionary, dispensing, prescribing, adq_sheet, squ_join, null_unit, squs)
+            self.publish()
+            return summary
+        finally:
+            self.run_id = None
+
+    def _tables(self, dictionary, dispensing, prescribing, adq_sheet, squ_join, null_unit, squs):
         products = self.keep("products", product_details(**dictionary))
-        squs = self.keep("squs", squ_latest(dispensing))
+        squs = self.keep("squs", squs(dispensing))
         provided = self.keep("provided_adqs", representative_presentation(prescribing))
         inputs = adq_inputs(products, squs, adq_sheet, squ_join, null_unit)
         computed = self.keep("computed_adqs", computed_adqs(inputs))

@@ -1,6 +1,17 @@
 """Reading input tables and writing results."""
 
 from dosequant.sources.sinks import write_dated
-from dosequant.sources.tables import read_adq_sheet, read_csv_table, read_monthly
+from dosequant.sources.tables import (
+    monthly_layouts,
+    monthly_rejects,
+    read_adq_sheet,
+    read_csv_table,
+    read_csv_text,
+    read_monthly,
+    unreadable_cells,
+)
 
-__all__ = ["read_adq_sheet", "read_csv_table", "read_monthly", "write_dated"]
+__all__ = [
+    "monthly_layouts", "monthly_rejects", "read_adq_sheet", "read_csv_table", "read_csv_text",
+    "read_monthly", "unreadable_cells", "write_dated",
+]

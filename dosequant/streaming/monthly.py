@@ -8,17 +8,15 @@ from dosequant.schemas import DISPENSING
 
 
 def accumulate_squ_pairs(
-    spark: SparkSession, directory: str, output: str, checkpoint: str | None = None
+    spark: SparkSession, directory: str, output: str, checkpoint: str
 ) -> StreamingQuery:
     """Append the (bnf_code, squ) pairs not seen before from new dispensing files.
 
     Reads Parquet files with the columns of `DISPENSING`, handles what has arrived
     since the last run and ends. The pairs seen are kept as state: a few per code,
-    whatever the number of months. Without `checkpoint`, progress is kept in the
-    shared folder the session names in spark.checkpoint.dir.
+    whatever the number of months. `checkpoint` keeps the progress of this directory
+    and output: a folder of its own that all executors share.
     """
-    if checkpoint is None:
-        checkpoint = spark.conf.get("spark.checkpoint.dir") + "/squ_pairs"
     files = spark.readStream.schema(DISPENSING).parquet(directory)
     return (
         squ_pairs(files)

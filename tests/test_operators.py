@@ -169,6 +169,35 @@ def test_practice_usage(spark):
     }
 
 
+def test_practice_usage_has_no_range(spark):
+    rows = spark.createDataFrame(
+        [("P", "A", "a", 1, 10**13, 1.0), ("P", "B", "b", 1, 1, 1.0), ("Q", "B", "b", 1, 1, 1.0),
+         ("Q", "A", "a", None, 1, 1.0)],
+        schemas.PRESCRIBING,
+    )
+    figures = spark.createDataFrame(
+        [("A", 1.0), ("B", 2e-7)], "bnf_code string, adq_per_quantity double"
+    )
+    found = {r.Practice_Code: tuple(r)[1:] for r in practice_usage(rows, figures).collect()}
+    assert found == {"P": (2, 0, 1e13 + 2e-7), "Q": (2, 1, 2e-7)}
+
+
+def test_missing_units_as_coded(spark):
+    products = spark.createDataFrame(
+        [("A", "a", 1, "Capsule", "Discrete", 2.5, "capsule", "capsule", 5.0, None, None, None, 1),
+         ("B", "b", 2, "Capsule", "Discrete", float("nan"), "capsule", "capsule", 5.0, "mg", None, None, 1)],
+        schemas.PRODUCTS,
+    )
+    squs = spark.createDataFrame([("A", "unit"), ("B", "unit")], schemas.SQUS)
+    sheet = spark.createDataFrame(
+        [("A", "a", "1", None), ("B", "b", "1", "g")], schemas.ADQ_SHEET
+    )
+    coded = computed_adqs(adq_inputs(products, squs, sheet, null_unit="nan")).collect()
+    assert {r.bnf_code: r.adq_per_quantity for r in coded} == {"A": 12.5, "B": 0.005}
+    blank = computed_adqs(adq_inputs(products, squs, sheet)).collect()
+    assert {r.bnf_code: r.adq_per_quantity for r in blank} == {"A": 1.0, "B": 0.005}
+
+
 def test_practice_usage_with_a_hot_code_does_not_depend_on_order(spark):
     rows = spark.range(30_000).selectExpr(
         "'P' AS Practice_Code",
@@ -234,6 +263,7 @@ def test_reject_report(spark, dispensing):
     )
     assert {tuple(r) for r in reject_report(sheet, dispensing).collect()} == {
         ("adq_value_unreadable", 1), ("adq_value_zero", 1), ("squ_code_unknown", 1),
+        ("squ_code_unreadable", 1), ("month_missing", 2),
     }
 
 
@@ -285,12 +315,22 @@ def test_links(spark):
       <!-- <a href="/old.xls">Mar</a> --><script>"<a href='/s.xls'>Apr</a>"</script>
       <a name="Jun">Jun</a><a href="/m.xls">  May</a><abbr href="/a.xls">Jul</abbr>
       <a
-        href="/n.xls">Aug</a>"""
+        href="/n.xls">Aug</a>
+      <a data-href="/wrong.xls" href='/d.xls'>Dec</a> <a href=/u.xls>Nov</a>
+      <a title="a > b" href="/o'c.xls">Oct</a> <a href="/x.xls"><b>new</b>Apr 2016</a>
+      <a href="/q.xls">Mar&nbsp;&amp; &lt;Apr&gt;</a><a href="/b.xls"><b>Jul</b></a>
+      <a hreflang="en" data-href="/w.xls">Jun</a><a title=" href='/t.xls'" href="/r.xls">Feb</a>"""
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     links = link_file_names(page_links(pages, "https://host"))
     assert sorted((r.link_text, r.url, r.file_name) for r in links.collect()) == [
+        ("Apr 2016", "https://host/x.xls", "x.xls"),
         ("Aug", "https://host/n.xls", "n.xls"),
+        ("Dec", "https://host/d.xls", "d.xls"),
+        ("Feb", "https://host/r.xls", "r.xls"),
         ("Jan 2018", "https://host/f/PCA%20Jan%202018.xls", "PCA_Jan_2018.xls"),
+        ("Mar\u00a0& <Apr>", "https://host/q.xls", "q.xls"),
+        ("Nov", "https://host/u.xls", "u.xls"),
+        ("Oct", "https://host/o'c.xls", "o'c.xls"),
         ("Sept 2017", "http://other/Sept.xlsx?a=1&b=2", "Sept.xlsx"),
     ]
 

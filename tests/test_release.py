@@ -2,7 +2,12 @@
 
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
+from dosequant import schemas
 from dosequant.checks.registry import QUERIES, Inputs
+from dosequant.operators import squ_pairs
 from dosequant.plans import Release
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +46,46 @@ def test_release(spark, tmp_path):
         assert rows(release.read(name)) == rows(QUERIES[query](spark, SMALL)), name
     figures = QUERIES["qa_summary"](spark, SMALL)
     assert rows(summary.drop("n_ibuprofen")) == rows(figures.drop("n_ibuprofen"))
+
+
+def small_run(spark):
+    """The arguments of a run over a handful of rows."""
+    make = spark.createDataFrame
+    dictionary = dict(
+        product=make([("A", "a", 1)], schemas.DMD_PRODUCT),
+        vmp=make([(1, 1, 1.0, 1, 2)], schemas.DMD_VMP),
+        vpi=make([(1, 5.0, 3, None, None)], schemas.DMD_VPI),
+        dform=make([(1, 1)], schemas.DMD_DFORM),
+        lookup_form=make([(1, "Capsule")], schemas.DMD_LOOKUP),
+        lookup_indicator=make([(1, "Discrete")], schemas.DMD_LOOKUP),
+        lookup_unit=make([(1, "capsule"), (2, "capsule"), (3, "mg")], schemas.DMD_LOOKUP),
+    )
+    day = date(2018, 1, 1)
+    return dict(
+        dictionary=dictionary,
+        dispensing=make([("A", 1, 1, day), ("A", 3, 1, date(2017, 1, 1))], schemas.DISPENSING),
+        prescribing=make([("P", "A", "a", 1, 2, 3.0)], schemas.PRESCRIBING),
+        adq_sheet=make([("A", "a 5mg", "10", "mg")], schemas.ADQ_SHEET),
+    )
+
+
+def test_csv_and_choice_of_squs(spark, tmp_path):
+    release = Release(spark, str(tmp_path), date(2018, 8, 30), csv=True)
+    release.run(**small_run(spark), squs=squ_pairs)
+    assert sorted(r.squ for r in release.read("squs").collect()) == ["ml", "unit"]
+    text = spark.read.option("header", True).csv(release.path("squs", "csv"))
+    assert sorted(tuple(r) for r in text.collect()) == [("A", "ml"), ("A", "unit")]
+    release.run(**small_run(spark))
+    assert [r.squ for r in release.read("squs").collect()] == ["unit"]
+
+
+def test_a_run_that_fails_publishes_nothing(spark, tmp_path):
+    release = Release(spark, str(tmp_path), date(2018, 8, 30))
+    release.run(**small_run(spark))
+    before = {name: rows(release.read(name)) for name in ("products", "squs", "qa_summary")}
+    changed = small_run(spark)
+    changed["dispensing"] = changed["dispensing"].where("squ_code = 3")
+    changed["prescribing"] = changed["prescribing"].withColumn("Quantity", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        release.run(**changed)
+    assert {name: rows(release.read(name)) for name in before} == before

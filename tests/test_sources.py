@@ -3,10 +3,21 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from dosequant import schemas
-from dosequant.operators import squ_pairs
-from dosequant.sources import read_adq_sheet, read_csv_table, read_monthly, write_dated
+from dosequant.operators import squ_latest, squ_pairs
+from dosequant.plans import computed_adqs
+from dosequant.sources import (
+    monthly_rejects,
+    read_adq_sheet,
+    read_csv_table,
+    read_csv_text,
+    read_monthly,
+    unreadable_cells,
+    write_dated,
+)
+from dosequant.sources.tables import month_of_file
 from dosequant.streaming import accumulate_squ_pairs
 
 
@@ -43,7 +54,7 @@ def test_monthly_files(spark, tmp_path):
         "\nStandard Quantity Unit,Preparation Class,More,BNF Code\n1.0,1.0,x,A\n0,2,x,E\n"
     )
     (tmp_path / "notes.csv").write_text("BNF Code,Preparation Class,Standard Quantity Unit\nZ,1,1\n")
-    found = read_monthly(spark, str(tmp_path), width=6)
+    found = read_monthly(spark, str(tmp_path))
     jan, sept = date(2018, 1, 1), date(2017, 9, 1)
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [
         ("A", 3, 1, jan), ("B", 1, 4, jan), ("C", 6, None, jan), ("A", 1, 1, sept),
@@ -55,6 +66,96 @@ def test_monthly_files(spark, tmp_path):
     ]
 
 
+def test_csv_whole_numbers_as_written_by_other_tools(spark, tmp_path):
+    names = ",".join(schemas.PRODUCTS.names)
+    (tmp_path / "p.csv").write_text(
+        names + "\nA,a,1.0,Capsule,Discrete,2.0,capsule,capsule,5d,mg,,,1.0\n"
+        "B,b,2,Capsule,Discrete,x,capsule,capsule,5,mg,,,1.5\n"
+    )
+    found = read_csv_table(spark, str(tmp_path / "p.csv"), schemas.PRODUCTS)
+    assert [(r.vpid, r.form_size, r.numerator, r.ingredient_count) for r in found.orderBy("vpid").collect()] == [
+        (1, 2.0, None, 1), (2, None, 5.0, None),
+    ]
+    rejects = unreadable_cells(read_csv_text(spark, str(tmp_path / "p.csv")), schemas.PRODUCTS)
+    assert {r.column: r.n for r in rejects.collect() if r.n} == {
+        "form_size": 1, "numerator": 1, "ingredient_count": 1,
+    }
+    # one ingredient in the ADQ's own unit: the strength times the form size
+    one = found.where("bnf_code = 'A'").selectExpr(
+        "*", "'unit' AS squ", "'A' AS bnf_name", "1D AS dose_multiplier", "2D AS adq_value",
+        "'g' AS adq_denominator",
+    ).drop("numerator").selectExpr("*", "5D AS numerator").drop("numerator_unit_of_measure")
+    one = one.selectExpr("*", "'g' AS numerator_unit_of_measure")
+    assert computed_adqs(one).first().adq_per_quantity == 5.0
+
+
+def test_csv_files_with_other_headings_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("bnf_code,squ\nA,ml\nB,g\n")
+    (tmp_path / "b.csv").write_text("squ,bnf_code\nml,C\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv_table(spark, str(tmp_path), schemas.SQUS).collect()
+
+
+def test_csv_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('bnf_code,squ\nA,"m\nl"\nB,g\n')
+    found = read_csv_table(spark, str(tmp_path), schemas.SQUS, multi_line=True)
+    assert sorted(tuple(r) for r in found.collect()) == [("A", "m\nl"), ("B", "g")]
+
+
+@pytest.mark.parametrize("name, month", [
+    ("PCA_Sept_2018.csv", (2018, 9)), ("PCA%20Jan%202018.csv", (2018, 1)), ("PCA_Sept18", (2018, 9)),
+    ("PCA_2018_Sept", (2018, 9)), ("PCA_201809", (2018, 9)), ("PCA_2018-09.csv", (2018, 9)),
+    ("PCA_Summary_2018", None), ("PCA_marketing_2018", None), ("PCA_December2017", (2017, 12)), ("PCA", None),
+])
+def test_month_of_file(spark, name, month):
+    found = spark.range(1).select(month_of_file(F.lit(name))).first()[0]
+    assert found == (date(*month, 1) if month else None)
+
+
+def test_monthly_files_lose_nothing(spark, tmp_path):
+    wide = ",".join(f"h{i}" for i in range(70))
+    (tmp_path / "PCA_Jan_2018.csv").write_text(
+        f"{wide}, BNF Code , Standard Quantity Unit,Preparation Class\n" + ",".join("x" * 70) + ",W,3,1\n"
+    )
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "PCA_Jan_2018.csv").write_text(
+        "Preparation Class,Standard Quantity Unit,BNF Code\n1,1.7,A\n1,3d,B\n1,x,C\n1,6,D\nz,1.0,E\n1,,F\n"
+    )
+    found = {}
+    for folder in (tmp_path, tmp_path / "old"):
+        for r in read_monthly(spark, str(folder)).collect():
+            found[r.bnf_code] = (r.squ_code, r.preparation_class)
+    assert found == {"W": (3, 1), "A": (None, 1), "B": (None, 1), "C": (None, 1), "D": (6, 1), "E": (1, None)}
+    rejects = {r.reject: r.n for r in monthly_rejects(spark, str(tmp_path / "old")).collect()}
+    assert rejects == {
+        "squ_code_unreadable": 3, "squ_code_missing": 1, "preparation_class_unreadable": 1,
+        "file_undated": 0, "file_without_headings": 0,
+    }
+
+
+def test_files_of_equal_name_in_two_folders(spark, tmp_path):
+    for folder, text in (("a", "BNF Code,Standard Quantity Unit\nA,3\n"), ("b", "Standard Quantity Unit,BNF Code\n1,B\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "PCA_Jan_2018.csv").write_text(text)
+    found = read_monthly(spark, str(tmp_path / "*"))
+    assert sorted((r.bnf_code, r.squ_code) for r in found.collect()) == [("A", 3), ("B", 1)]
+
+
+def test_monthly_file_without_headings(spark, tmp_path):
+    (tmp_path / "PCA_Jan_2018.csv").write_text("BNF Code,Standard Quantity Unit\nA,3\n")
+    (tmp_path / "PCA_2018.csv").write_text("BNF,Unit\nB,1\n")
+    with pytest.raises(ValueError, match="PCA_2018.csv"):
+        read_monthly(spark, str(tmp_path))
+    found = read_monthly(spark, str(tmp_path), without_headings="skip")
+    assert [r.bnf_code for r in found.collect()] == ["A"]
+    rejects = {r.reject: r.n for r in monthly_rejects(spark, str(tmp_path)).collect()}
+    assert rejects["file_without_headings"] == 1
+    given = read_monthly(spark, str(tmp_path), layout={"bnf_code": 0, "squ_code": 1})
+    assert sorted(r.bnf_code for r in given.where("squ_code IS NOT NULL").collect()) == ["A", "B"]
+    assert sorted(r.bnf_code for r in squ_latest(given).collect()) == ["A", "B"]
+    assert given._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_monthly_parquet(spark, tmp_path):
     sheet = spark.createDataFrame(
         [("A", 1, 1.0, "x"), ("B", None, 1.0, "x"), ("C", 6, None, "x")],
@@ -94,10 +195,20 @@ def test_pairs_are_appended_once(spark, tmp_path):
     ]
     for month in months:
         spark.createDataFrame(month, schemas.DISPENSING).write.mode("append").parquet(source)
-        query = accumulate_squ_pairs(spark, source, output)
+        query = accumulate_squ_pairs(spark, source, output, str(tmp_path / "progress"))
         query.awaitTermination()
         assert query.exception() is None
     streamed = sorted(tuple(r) for r in spark.read.parquet(output).collect())
     whole = squ_pairs(spark.read.schema(schemas.DISPENSING).parquet(source))
     assert streamed == sorted(tuple(r) for r in whole.collect())
     assert streamed == [("A", "ml"), ("A", "unit"), ("C", "g")]
+
+
+def test_two_sources_keep_their_own_progress(spark, tmp_path):
+    for name, code in (("x", "A"), ("y", "B")):
+        source = str(tmp_path / name / "in")
+        rows = spark.createDataFrame([(code, 1, 1, date(2018, 1, 1))], schemas.DISPENSING)
+        rows.write.parquet(source)
+        output, progress = str(tmp_path / name / "out"), str(tmp_path / name / "progress")
+        accumulate_squ_pairs(spark, source, output, progress).awaitTermination()
+        assert [tuple(r) for r in spark.read.parquet(output).collect()] == [(code, "unit")]
