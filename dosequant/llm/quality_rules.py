@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dosequant.llm.columns import packed, unpacked
+
 #: Characters between words, and characters counted as symbols.
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -162,14 +164,16 @@ def judge_quality(
     Null and empty texts have no words and fail the base rule. Rows stay one to one,
     repeated ones too; columns of `df` named like a result are replaced.
     """
-    df = text_figures(df.drop("figures", "broken", "base_failed", "kept"), text)
+    columns = [c for c in df.columns if c != text]
+    df = text_figures(packed(df, text).withColumnRenamed("text", "_whole"), "_whole")
     figures = F.col("_figures")
     base = (figures["n_words"] < min_words) | (
         figures["n_repeat_words"] > max_repeated * figures["n_words"]
     )
-    return (
+    judged = (
         df.withColumn("broken", broken_rules(figures, rules))
         .withColumn("base_failed", base)
         .withColumn("kept", ~base & (F.size("broken") == 0))
-        .withColumnRenamed("_figures", "figures")
+        .withColumnsRenamed({"_figures": "figures", "_whole": text})
     )
+    return unpacked(judged, columns, text, "figures", "broken", "base_failed", "kept")

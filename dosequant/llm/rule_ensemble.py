@@ -16,6 +16,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dosequant.llm.columns import packed, unpacked
 from dosequant.llm.quality_rules import SPACES, STOP_WORDS
 
 STATISTICS = (
@@ -149,9 +150,11 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
 
 def score_quality(df: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
     """`df` with `score` (0 to 1, higher is better) and `predicted` (1 from 0.5 on)."""
-    return (
-        statistics(df.drop("score", "predicted"), text)
+    columns = [c for c in df.columns if c != text]
+    scored = (
+        statistics(packed(df, text).withColumnRenamed("text", "_whole"), "_whole")
         .withColumn("score", model.score())
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        .drop("_stats")
+        .withColumnRenamed("_whole", text)
     )
+    return unpacked(scored, columns, text, "score", "predicted")

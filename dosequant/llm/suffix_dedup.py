@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from dosequant.llm import words as W
 from dosequant.llm.arrays import runs, spread
+from dosequant.llm.columns import packed, unpacked
 from dosequant.llm.sketch import estimate
 
 SIZE, QGRAM, LONGER = 200, 32, 64
@@ -277,7 +278,7 @@ def equal_byte_runs(df: DataFrame, size: int = SIZE, qgram: int = QGRAM) -> Data
     )
 
 
-def _cut(size: int, names: list[str], as_text: bool):
+def _cut(size: int, as_text: bool):
     span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def run(batches):
@@ -296,10 +297,9 @@ def _cut(size: int, names: list[str], as_text: bool):
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 total.append(len(text))
                 spans.append([{"from": a, "to": b} for a, b in removed])
-            columns = [column(n) for n in names]
             rest = pa.array([x.decode("utf-8", "ignore") for x in kept] if as_text else kept, pa.string() if as_text else pa.binary())
-            columns += [pa.array(total, pa.int64()), pa.array(spans, span), rest]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "removed", "kept_text" if as_text else "kept_bytes"])
+            columns = [column("_input"), pa.array(total, pa.int64()), pa.array(spans, span), rest]
+            yield pa.RecordBatch.from_arrays(columns, ["_input", "n_bytes", "removed", "kept_text" if as_text else "kept_bytes"])
 
     return run
 
@@ -317,19 +317,15 @@ def remove_repeated_bytes(
     `key` names the columns that tell rows with equal texts apart; rows equal in
     those and the text, repeated rows that is, have the same outcome.
     """
-    rest = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
-    df = df.drop("n_bytes", "removed", rest.name)
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in key], F.col(f"`{text}`"))
-    found = equal_byte_runs(df.select(row.alias("row"), F.col(f"`{text}`").alias("text")), size, qgram)
+    columns = [c for c in df.columns if c != text]
+    rows = packed(df, text, row=F.xxhash64(*[F.col(f"`{c}`") for c in key], F.col(f"`{text}`")))
+    found = equal_byte_runs(rows.select("row", "text"), size, qgram)
     found = found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in kept]
+    joined = rows.join(found, "row", "left").select("_input", "text", "_runs")
+    rest = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
     schema = T.StructType(
-        [*kept, T.StructField("n_bytes", T.LongType()),
-         T.StructField("removed", T._parse_datatype_string("array<struct<from:int,to:int>>")),
-         rest]
-    )
-    joined = df.withColumn("_row", row).join(found.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.select(*[f"`{n}`" for n in names], F.col(f"`{text}`").alias("text"), "_runs").mapInArrow(
-        _cut(size, names, as_text), schema
+        [rows.schema["_input"], T.StructField("n_bytes", T.LongType()),
+         T.StructField("removed", T._parse_datatype_string("array<struct<from:int,to:int>>")), rest]
     )
+    cut = joined.mapInArrow(_cut(size, as_text), schema)
+    return unpacked(cut, columns, "n_bytes", "removed", rest.name)

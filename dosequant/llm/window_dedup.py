@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from dosequant.llm import words as W
 from dosequant.llm.arrays import runs, spread
+from dosequant.llm.columns import packed, unpacked
 from dosequant.llm.sketch import Estimate, estimate
 
 WINDOW, GRAM = 13, 5
@@ -175,15 +176,15 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     )
 
 
-def _cut(window: int, names: list[str]):
+def _cut(window: int):
     def run(batches):
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
             total, gone, kept, spans = [], [], [], []
-            for text, runs in zip(column("text").cast(pa.binary()).to_pylist(), column("_runs").to_pylist()):
+            for text, found in zip(column("text").cast(pa.binary()).to_pylist(), column("_runs").to_pylist()):
                 words = text.split() if text else []
                 removed: list[list[int]] = []
-                for x in sorted((x["at"], x["at"] + x["n"] + window - 1) for x in runs or ()):
+                for x in sorted((x["at"], x["at"] + x["n"] + window - 1) for x in found or ()):
                     if removed and x[0] <= removed[-1][1]:
                         removed[-1][1] = max(removed[-1][1], x[1])
                     else:
@@ -198,10 +199,9 @@ def _cut(window: int, names: list[str]):
                 kept.append(b" ".join(rest))
                 spans.append([{"from": a, "to": b} for a, b in removed])
             span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            columns = [column(n) for n in names]
-            columns += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)]
-            columns += [pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed", "removed", "kept_text"])
+            columns = [column("_input"), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+            columns += [pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_input", "n_words", "n_removed", "removed", "kept_text"])
 
     return run
 
@@ -217,25 +217,17 @@ def remove_repeated_windows(
     the same id, repeated rows among them, leave each other alone. Null and empty
     texts have no words.
     """
-    results = ("n_words", "n_removed", "removed", "kept_text")
-    df = df.drop(*results)
+    columns = [c for c in df.columns if c != text]
     row = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    runs = repeated_windows(
-        df.select(
-            F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), row.alias("row"),
-            F.col(f"`{text}`").alias("text"),
-        ),
-        window, gram,
-    )
-    runs = runs.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in kept]
+    doc = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST))
+    rows = packed(df, text, row=row, doc=doc)
+    found = repeated_windows(rows.select("doc", "row", "text"), window, gram)
+    found = found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    joined = rows.join(found, "row", "left").select("_input", "text", "_runs")
     schema = T.StructType(
-        [*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        [rows.schema["_input"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
          T.StructField("removed", T._parse_datatype_string("array<struct<from:int,to:int>>")),
          T.StructField("kept_text", T.StringType())]
     )
-    joined = df.withColumn("_row", row).join(runs.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.select(*[f"`{n}`" for n in names], F.col(f"`{text}`").alias("text"), "_runs").mapInArrow(
-        _cut(window, names), schema
-    )
+    cut = joined.mapInArrow(_cut(window), schema)
+    return unpacked(cut, columns, "n_words", "n_removed", "removed", "kept_text")
