@@ -144,13 +144,13 @@ def parse(page: str) -> Node:
         stack.append(node)
     if marked:
         _measure(root)
-        holding = set()
+        holding: set[Node] = set()
         for node in _order(root):
-            while node.tag in ("article", "main") and node.parent is not None or node in holding:
-                node = node.parent
-                if node is None or node in holding:
-                    break
-                holding.add(node)
+            if node.tag in ("article", "main"):
+                up: Node | None = node
+                while up is not None and up not in holding:
+                    holding.add(up)
+                    up = up.parent
         for node in marked:  # a word in a class drops neither an article nor all text
             node.dropped = node not in holding and 10 * node.chars < 9 * root.chars
     return root
