@@ -84,13 +84,14 @@ class Estimate:
 def estimate(
     df: DataFrame,
     keys: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]],
-    cell_bits: int = CELL_BITS,
+    cell_bits: int | None = None,
 ) -> Callable[[], Estimate]:
     """The sketch of the keys that `keys` makes of the batches of `df`.
 
     Two bits per cell reach the driver and are broadcast: 2 * ROWS * 2**cell_bits
-    bits, 32 MB by default.
+    bits, 32 MB with CELL_BITS.
     """
+    cell_bits = cell_bits or CELL_BITS
 
     def run(batches):
         held, size = [], 0

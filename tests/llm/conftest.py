@@ -1,5 +1,7 @@
 import pytest
 
+from dosequant.llm import sketch
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -29,3 +31,9 @@ def clashing():
         return df
 
     return add
+
+
+@pytest.fixture(autouse=True)
+def small_sketch(monkeypatch):
+    """Less to merge: the texts of the tests hit few cells."""
+    monkeypatch.setattr(sketch, "CELL_BITS", 18)
