@@ -5,13 +5,15 @@ search over all pieces that a double-array trie finds in it. Characters without
 piece are written as byte pieces. Spaces become a marker before segmentation and
 spaces again when decoding, so decoding gives the text back exactly.
 
-No piece of the usual vocabularies goes on across the beginning of a word, so words
-are segmented apart, and the outcome of a word is kept for the next time it comes up
-in the same task.
+No piece of the usual vocabularies goes on across the beginning of a word, nor from
+letters to other characters or back. Where that holds, which is checked, words and
+runs of letters are segmented apart, and what came out is kept for the next time
+they come up in the same task.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose segmentation a task keeps.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 19
 
 
 class DoubleArray:
@@ -123,7 +125,11 @@ class Segmenter:
         self.unknown = min(used, default=0.0) - UNKNOWN_PENALTY
         marker = MARKER.encode()
         inside = re.compile(b"(?<!%b)%b" % (marker, marker))
-        self.by_word = not any(inside.search(p, 1) for p, m in zip(vocabulary.pieces, vocabulary.matches) if m)
+        used_pieces = [p for p, m in zip(vocabulary.pieces, vocabulary.matches) if m]
+        self.by_word = not any(inside.search(p, 1) for p in used_pieces)
+        mixed = any(_MIXED.search(p.decode()) for p in used_pieces)
+        self.parts = None if not self.by_word else _WORD if mixed else _RUN
+        self.longest = max((len(p) for p, m in zip(vocabulary.pieces, vocabulary.matches) if m), default=0)
         self.known: dict[str, tuple[int, ...]] = {}
         self.texts = {i: p.replace(marker, b" ") for i, p in enumerate(vocabulary.pieces)}
         self.texts |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
@@ -135,20 +141,17 @@ class Segmenter:
         """
         base, check, value = self.base, self.check, self.value
         scores, byte_ids = self.vocabulary.scores, self.vocabulary.byte_ids
-        n = len(text)
-        total: list[float | None] = [None] * (n + 1)
+        n, worst = len(text), -math.inf
+        total = [worst] * (n + 1)
         came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         total[0] = 0.0
-        for start in range(n):
+        for start, byte in enumerate(text):
             here = total[start]
-            if here is None:
+            if here == worst:
                 continue
-            byte = text[start]
             width = 1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-            single = False
-            node, at = 0, start
-            while at < n:
-                c = text[at]
+            single, node, at = False, 0, start
+            for c in text[start : start + self.longest]:
                 following = base[node] + c
                 if check[following] != node:
                     break
@@ -156,12 +159,13 @@ class Segmenter:
                 piece = value[node]
                 if piece >= 0:
                     score = here + scores[piece]
-                    single |= at - start == width
-                    if total[at] is None or score > total[at]:
+                    if at == start + width:
+                        single = True
+                    if score > total[at]:
                         total[at], came[at] = score, (start, piece)
             if not single:
                 at, score = start + width, here + self.unknown
-                if total[at] is None or score > total[at]:
+                if score > total[at]:
                     total[at], came[at] = score, (start, -1)
         ids: list[int] = []
         at = n
@@ -195,16 +199,20 @@ class Segmenter:
         return ids
 
     def _words(self, marked: str) -> list[str]:
-        if not self.by_word:
+        if self.parts is None:
             return [marked] if marked else []
-        return _WORD.findall(marked)
+        return self.parts.findall(marked)
 
     def decode(self, ids: Sequence[int]) -> str:
         data = b"".join([self.texts[i] for i in ids])
         return data[1:].decode() if data[:1] == b" " else data.decode()
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+#: Runs of letters or of other characters, with the markers before them.
+_RUN = re.compile(f"{MARKER}*[{_LETTERS}]+|{MARKER}*[^{MARKER}{_LETTERS}]+|{MARKER}+")
+_MIXED = re.compile(f"[{_LETTERS}][^{MARKER}{_LETTERS}]|[^{MARKER}{_LETTERS}][{_LETTERS}]")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
