@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dosequant.llm.columns import packed, unpacked
@@ -132,14 +133,11 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
             share = ones / n
             return RuleEnsemble(math.log(share / (1 - share)), ())
         stats = F.struct(*STATISTICS).alias("_stats")
-        names = [f"r{i}" for i in range(len(paths))]
+        rules = ", ".join(f"CAST({rule_sql(p)} AS DOUBLE)" for p in paths)
         fired = rows.select("label", stats).select(
-            "label", *[F.expr(f"CAST({rule_sql(p)} AS DOUBLE)").alias(c) for c, p in zip(names, paths)]
-        )
-        fired = VectorAssembler(inputCols=names, outputCol="features").transform(fired)
-        model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=30, tol=1e-4).fit(
-            fired.select("label", "features")
+            "label", array_to_vector(F.expr(f"array({rules})")).alias("features")
         )
+        model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=30, tol=1e-4).fit(fired)
         weights = [float(w) for w in model.coefficients.toArray()]
         return RuleEnsemble(
             float(model.intercept), tuple((p, w) for p, w in zip(paths, weights) if w)

@@ -8,6 +8,7 @@ Counts are never too low; the size is fixed by its parameters, whatever the inpu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -53,18 +54,24 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     for cells, counts in zip(group["cells"], group["counts"]):
         at = np.frombuffer(cells, np.uint16)
         total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint8), OFTEN)
+    packed = lambda bits: zlib.compress(np.packbits(bits).tobytes(), 1)
     return pd.DataFrame(
-        {"shard": [int(group["shard"].iloc[0])], "twice": [np.packbits(total >= 2).tobytes()],
-         "often": [np.packbits(total >= OFTEN).tobytes()]}
+        {"shard": [int(group["shard"].iloc[0])], "twice": [packed(total >= 2)], "often": [packed(total >= OFTEN)]}
     )
 
 
 class Estimate:
     """The merged sketch, as tasks use it."""
 
-    def __init__(self, twice: bytes, often: bytes, cell_bits: int):
+    def __init__(self, shards: dict[int, tuple[bytes, bytes]], cell_bits: int):
+        """`shards` has the compressed bits of those shards that any key hits."""
         self.cell_bits = cell_bits
-        self.bits = [np.frombuffer(x, np.uint8).reshape(ROWS, -1) for x in (twice, often)]
+        many = ROWS << (cell_bits - SHARD_BITS)
+        self.bits = [np.zeros((many, _SHARD // 8), np.uint8) for _ in range(2)]
+        for shard, parts in shards.items():
+            for bits, part in zip(self.bits, parts):
+                bits[shard] = np.frombuffer(zlib.decompress(part), np.uint8)
+        self.bits = [x.reshape(ROWS, -1) for x in self.bits]
 
     def _all(self, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -88,8 +95,8 @@ def estimate(
 ) -> Callable[[], Estimate]:
     """The sketch of the keys that `keys` makes of the batches of `df`.
 
-    Two bits per cell reach the driver and are broadcast: 2 * ROWS * 2**cell_bits
-    bits, 32 MB with CELL_BITS.
+    Two bits per cell reach the driver and are broadcast, compressed: at most
+    2 * ROWS * 2**cell_bits bits, 32 MB with CELL_BITS.
     """
     cell_bits = cell_bits or CELL_BITS
 
@@ -110,17 +117,12 @@ def estimate(
         .groupBy("shard")
         .applyInPandas(_merge, "shard int, twice binary, often binary")
     )
-    shards = 1 << (cell_bits - SHARD_BITS)
-    twice, often = (np.zeros((ROWS * shards, _SHARD // 8), np.uint8) for _ in range(2))
-    for shard, a, b in merged.toLocalIterator():
-        twice[shard] = np.frombuffer(a, np.uint8)
-        often[shard] = np.frombuffer(b, np.uint8)
-    sent = spark.sparkContext.broadcast((twice.tobytes(), often.tobytes()))
+    sent = spark.sparkContext.broadcast({shard: (bytes(a), bytes(b)) for shard, a, b in merged.toLocalIterator()})
     built: list[Estimate] = []
 
     def get() -> Estimate:
         if not built:
-            built.append(Estimate(*sent.value, cell_bits))
+            built.append(Estimate(sent.value, cell_bits))
         return built[0]
 
     return get
