@@ -12,7 +12,9 @@ Neighbouring starts mostly share it; they form a segment and travel together wit
 the bytes they cover. Only buckets that a count-min sketch takes for repeated
 travel. A batch first refines its own: starts that are equal there are decided on,
 and of each string one start goes on, so a group of copies shrinks to one row per
-batch. Buckets with many starts are refined by a longer sequence before they travel.
+batch. Starts of frequent buckets travel one by one, without bytes, to the identifier
+of their whole string, so what meets there is equal however many strings share a
+sequence.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from dosequant.llm.arrays import runs, spread
 from dosequant.llm.columns import packed, unpacked
 from dosequant.llm.sketch import estimate
 
-SIZE, QGRAM, LONGER = 200, 32, 64
-#: Bytes of segments that a batch holds before it sends them.
+SIZE, QGRAM = 200, 32
+#: Bytes of segments and of single starts that a batch holds before it sends them.
 HELD_BYTES = 4 << 20
 _ROUTED = "route bigint, row bigint, at int, n int, content binary"
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +94,20 @@ def equal_strings(buckets: np.ndarray, data: np.ndarray, starts: np.ndarray, siz
     return final, many
 
 
+def whole_strings(
+    data: np.ndarray, starts: np.ndarray, size: int, ids: np.ndarray | None = None, done: int = 1
+) -> np.ndarray:
+    """Identifiers of all `size` bytes from each start on."""
+    length = 1 << (size.bit_length() - 1)
+    ids = identifiers(data, length, ids, done)
+    return W.scatter(ids[starts] * _RADIX + ids[starts + size - length])
+
+
 class Segments:
-    """Segments of the texts of one chunk: text, first start, number of starts, bucket."""
+    """Segments of the texts of one chunk: text, first start, number of starts, bucket.
+
+    `alone` has the starts that are in none: text, start, identifier of the string.
+    """
 
     def __init__(self, texts: list[bytes | None], size: int, qgram: int):
         sizes = np.fromiter((len(x) if x else 0 for x in texts), np.int64, len(texts))
@@ -106,15 +120,13 @@ class Segments:
         self.at = spread(self.text_at[:-1][starts > 0], starts[starts > 0])
         self.text = np.repeat(np.arange(len(texts)), starts)
         keys = W.smallest(self.ids, span)[self.at] if len(self.at) else np.empty(0, np.uint64)
-        self.cut(keys)
-
-    def cut(self, keys: np.ndarray) -> None:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (self.text[1:] != self.text[:-1])
         first = np.flatnonzero(new)
         self.first, self.n = self.at[first], np.diff(np.append(first, len(keys)))
         self.key, self.owner = keys[first], self.text[first]
         self.each = keys
+        self.alone = (self.owner[:0], self.first[:0], self.key[:0])
 
     def occurrences(self) -> np.ndarray:
         """Buckets, one entry for each place whose sequence is the least of a string.
@@ -128,23 +140,13 @@ class Segments:
         return self.ids[(largest == self.ids) & (largest > 0)]
 
     def choose(self, estimate) -> None:
-        """Keep repeated buckets; refine frequent ones by longer sequences."""
-        often = estimate.frequent(self.key)
+        """Keep repeated buckets; single out the starts of frequent ones."""
+        some, often = estimate.repeated(self.key), estimate.frequent(self.key)
         if often.any():
-            longer = identifiers(self.data, LONGER, self.ids, self.qgram)
-            least = W.smallest(longer, self.size - LONGER + 1)
-            hot = np.repeat(often, self.n)
-            keys, hot_at = self.each.copy(), self.at[hot]
-            keys[hot] = W.scatter(keys[hot] ^ least[hot_at])
-            some = np.repeat(estimate.repeated(self.key), self.n)
-            self.cut(keys)
-            # a refined segment lies within one of those before
-            place = np.concatenate(([0], np.cumsum(self.n)))[:-1]
-            self.keep(some[place])
-        else:
-            self.keep(estimate.repeated(self.key))
-
-    def keep(self, some: np.ndarray) -> None:
+            starts = spread(self.first[often], self.n[often])
+            strings = whole_strings(self.data, starts, self.size, self.ids, self.qgram)
+            self.alone = (np.repeat(self.owner[often], self.n[often]), starts, strings)
+            some &= ~often
         self.first, self.n, self.key, self.owner = self.first[some], self.n[some], self.key[some], self.owner[some]
 
     def content(self) -> np.ndarray:
@@ -165,7 +167,21 @@ def _routed(route, row, at, n, data, sizes) -> pa.RecordBatch:
 
 
 def _candidates(size: int, qgram: int, get):
-    """Segments to be refined together; those without content are decided on."""
+    """Segments to be refined together; those without content are decided on, or with
+    n = 0 are single starts, equal to the others of their route."""
+
+    def decided(rows, first, count) -> pa.RecordBatch:
+        apart = W.scatter(rows.view(np.uint64) + first.astype(np.uint64))
+        return _routed(apart, rows, first, count, apart[:0].view(np.uint8), np.zeros(len(rows), np.int64))
+
+    def send_alone(parts) -> Iterator[pa.RecordBatch]:
+        row, at, string = (np.concatenate(x) for x in zip(*parts))
+        if not len(string):
+            return
+        _, leading, which, many = np.unique(string, return_index=True, return_inverse=True, return_counts=True)
+        none = np.zeros(len(leading), np.int64)
+        yield _routed(string[leading], row[leading], at[leading], none, none[:0].view(np.uint8), none)
+        yield decided(*runs(many[which] > 1, row, at))
 
     def send(parts) -> Iterator[pa.RecordBatch]:
         key, row, at, n = (np.concatenate(x) for x in list(zip(*parts))[:4])
@@ -185,12 +201,10 @@ def _candidates(size: int, qgram: int, get):
         yield _routed(
             key[going], row[going], at[going], n[going], data[np.repeat(going, sizes)], sizes[going]
         )
-        rows, first, count = runs(many > 1, row[segment], spread(at, n))
-        apart = W.scatter(rows.view(np.uint64) + first.astype(np.uint64))
-        yield _routed(apart, rows, first, count, data[:0], np.zeros(len(rows), np.int64))
+        yield decided(*runs(many > 1, row[segment], spread(at, n)))
 
     def run(batches):
-        parts, held = [], 0
+        parts, alone, held = [], [], 0
         for batch, texts in W.chunks(batches, "text"):
             rows = batch.column(batch.schema.get_field_index("row")).to_numpy()
             found = Segments(texts, size, qgram)
@@ -198,12 +212,16 @@ def _candidates(size: int, qgram: int, get):
             at = found.first - found.text_at[found.owner]
             content = found.content()
             parts.append((found.key, rows[found.owner], at, found.n, content))
-            held += len(content)
+            owner, start, string = found.alone
+            alone.append((rows[owner], start - found.text_at[owner], string))
+            held += len(content) + string.nbytes
             if held >= HELD_BYTES:
                 yield from send(parts)
-                parts, held = [], 0
+                yield from send_alone(alone)
+                parts, alone, held = [], [], 0
         if parts:
             yield from send(parts)
+            yield from send_alone(alone)
 
     return run
 
@@ -211,12 +229,14 @@ def _candidates(size: int, qgram: int, get):
 def _resolve(size: int):
     """Runs of equal strings, from segments sorted by route.
 
-    Of the last route of a batch one start of each string is kept for the next batch.
+    Of the last route of a batch one start of each string is kept for the next batch,
+    and of the single starts the last one, whose route is its string.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         last_route, kept = None, (none, none, np.empty(0, np.uint8))  # row, at, bytes
+        last_alone = (none, none, none)  # route, at, row
         for batch in batches:
             route, row, at, n = (batch.column(i).to_numpy() for i in range(4))
             at, n = at.astype(np.int64), n.astype(np.int64)
@@ -224,10 +244,19 @@ def _resolve(size: int):
             offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1]
             data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
             sizes = np.diff(offsets).astype(np.int64)
-            decided = sizes == 0
+            alone = n == 0
+            decided = (sizes == 0) & ~alone
+            string, place_alone, row_alone = (
+                np.concatenate(x) for x in zip(last_alone, (route[alone], at[alone], row[alone]))
+            )
+            last_alone = (string[-1:], place_alone[-1:], row_alone[-1:])
+            equal = string[1:] == string[:-1]
+            twice = np.zeros(len(string), bool)
+            twice[1:] |= equal
+            twice[:-1] |= equal
             if len(route) and route[0] != last_route:
                 kept = (none, none, np.empty(0, np.uint8))
-            some = ~decided
+            some = sizes > 0
             n_kept = len(kept[0])
             offset = np.concatenate((np.arange(n_kept) * size, len(kept[2]) + (np.cumsum(sizes) - sizes)[some]))
             counts = np.concatenate((np.ones(n_kept, np.int64), n[some]))
@@ -240,9 +269,9 @@ def _resolve(size: int):
             final, many = equal_strings(routes.view(np.uint64)[segment], data, starts, size)
             rows, first, count = runs(many > 1, owners[segment], place)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((rows, row[decided]))),
-                 pa.array(np.concatenate((first, at[decided])).astype(np.int32)),
-                 pa.array(np.concatenate((count, n[decided])).astype(np.int32))],
+                [pa.array(np.concatenate((rows, row[decided], row_alone[twice]))),
+                 pa.array(np.concatenate((first, at[decided], place_alone[twice])).astype(np.int32)),
+                 pa.array(np.concatenate((count, n[decided], np.ones(twice.sum(), np.int64))).astype(np.int32))],
                 ["row", "at", "n"],
             )
             if len(route):

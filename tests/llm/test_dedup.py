@@ -165,6 +165,27 @@ def test_repeated_bytes(spark, documents, clashing, monkeypatch, often, held):
     assert suffix_dedup.remove_repeated_bytes(documents((1, "a")).where("false")).collect() == []
 
 
+def test_a_frequent_line_too_short_to_go_meets_in_no_single_route(spark, documents):
+    line, passage = prose(3, 60)[:150], prose(4, 80)[:260]
+    rows = [(i, f"{prose(9000 + i, 50, 4000)}\n{line}\n{prose(19000 + i, 50, 4000)}") for i in range(900)]
+    rows += [(990, rows[0][1])] + [(1000 + i, f"{prose(2000 + i, 20, 4000)}\n{passage}") for i in range(220)]
+    df = documents(*rows).selectExpr("doc_id AS row", "text").coalesce(1)
+
+    def keys(batches):
+        for _, texts in suffix_dedup.W.chunks(batches, "text"):
+            yield suffix_dedup.Segments(texts, 200, 32).occurrences()
+
+    get = sketch.estimate(df.select("text"), keys)
+    sent = df.mapInArrow(suffix_dedup._candidates(200, 32, get), suffix_dedup._ROUTED).collect()
+    starts = collections.Counter()
+    for r in sent:
+        starts[r.route] += r.n if len(r.content) else 1
+    assert max(starts.values()) < sketch.OFTEN * (200 - 32 + 1)
+    found = suffix_dedup.remove_repeated_bytes(documents(*rows).repartition(3, "doc_id")).collect()
+    got = sorted((str(r.doc_id), sum(x["to"] - x["from"] for x in r.removed), bytes(r.kept_bytes)) for r in found)
+    assert got == [(r[0], r[2], r[4]) for r in slow_bytes(rows)]
+
+
 def test_cut_characters_go_as_a_whole(spark, documents):
     shared = "é" * 100
     found = suffix_dedup.remove_repeated_bytes(documents((1, "xà" + shared), (2, "yé" + shared + "z")), as_text=True)
