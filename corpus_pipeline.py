@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor kept, whole, and returns rows
 with the same columns; the last one adds token ids. Further columns of the documents
-go along, whatever their names. Rows without an id are never merged with others.
+go along, whatever their names. Rows without an id are merged with near copies only
+if a later stage would cut the repeated bytes from all of them.
 """
 
 from __future__ import annotations
@@ -48,13 +49,22 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id, once."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    least = groups.where("doc_id = component_id").select("doc_id").distinct()
-    packed = _packed(docs)
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = packed.join(least, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
-    nameless = packed.where("doc_id IS NULL")
+    """Of each group of linked fingerprints the row with the least id, once.
+
+    Rows are told apart by id and text. Rows without an id come after the others, by
+    the hash of their text; those too short to lose bytes in the next stage all stay.
+    """
+    short = F.coalesce(F.octet_length("text") < suffix_dedup.SIZE, F.lit(True))
+    rank = F.when(F.col("doc_id").isNotNull(), 0).when(~short, 1).otherwise(2)
+    row = F.xxhash64("doc_id", "text")
+    named = docs.select(F.struct(rank.alias("rank"), "doc_id", row.alias("row")).alias("_id"), "text")
+    groups = simhash.near_duplicates(named, doc_id="_id")
+    least = groups.where("_id.rank < 2 AND _id.row = component_id.row").select(F.col("_id.row").alias("_row")).distinct()
+    packed = _packed(docs).withColumn("_rank", rank).withColumn("_row", row)
+    once = Window.partitionBy("_row").orderBy("_rank")
+    kept = packed.where("_rank < 2").join(least, "_row", "left_semi")
+    kept = kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    nameless = packed.where("_rank = 2")
     return kept.select("_document.*").unionByName(nameless.select("_document.*"))
 
 

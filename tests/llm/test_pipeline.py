@@ -75,6 +75,17 @@ def test_odd_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
 
 
+def test_no_text_vanishes_for_its_id(spark, documents):
+    text = [" ".join(f"t{k}word{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, text[0]), (None, text[0]), (7, text[1]), (3, text[1]), (7, text[2]), (8, text[3]), (8, text[3])]
+    rows += [(None, text[3]), (None, "short"), (None, "short"), (None, None)]
+    stage = dict(corpus_pipeline.STAGES)
+    once = written(stage["simhash_near_dedup"](spark, documents(*rows), ""), "t")
+    cut = stage["suffix_array_dedup"](spark, once, "").collect()
+    expected = [(None, text[0]), (3, text[1]), (7, text[2]), (8, text[3]), (None, "short"), (None, "short"), (None, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in cut))) == sorted(map(str, expected))
+
+
 @pytest.mark.skipif(not os.path.exists(unigram.MODEL), reason="no vocabulary file")
 def test_queries_give_a_row_per_document(spark):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
