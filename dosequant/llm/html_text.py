@@ -3,7 +3,8 @@
 Every element gets its characters per tag, adjusted for how many of them are links.
 An element's sum is that of its children's densities; the element with the greatest
 sum holds the article. The least density on its path to the body is the threshold
-that elements beside it must reach to belong to it.
+that any element off that path must reach to belong to it. An <article> or <main> on
+the path or below it is taken instead, with its like siblings.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ DROPPED_WORDS = frozenset(
     "cookie cookies consent notice notices newsletter subscribe subscription share sharing social "
     "related recommended widget popup modal overlay toolbar pagination pager login signup".split()
 )
+HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 NEVER_BY_WORD = frozenset(("html", "body", "main", "article"))
 
 _TOKEN = re.compile(
@@ -198,6 +200,42 @@ def _densities(body: Node, nodes: list[Node]) -> None:
             node.total = max(node.total, node.density)
 
 
+def _reaching(body: Node, top: Node, threshold: float) -> list[Node]:
+    """`top`, the outermost elements off its path that reach the threshold, and the
+    headlines before any of them under the same parent, in page order."""
+    path, up = {body}, top.parent
+    while up is not body and up is not None:
+        path.add(up)
+        up = up.parent
+    out, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        if node is top or node not in path and node.density >= threshold:
+            out.append(node)
+        else:
+            todo.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.dropped)
+    chosen = set(out)
+    for parent in {x.parent for x in out}:
+        later = False
+        for x in reversed(parent.parts):
+            if x in chosen:
+                later = True
+            elif later and isinstance(x, Node) and not x.dropped and x.tag in HEADLINES:
+                chosen.add(x)
+    if len(chosen) == len(out):
+        return out
+    return [x for x in _order_in_page(body) if x in chosen]
+
+
+def _order_in_page(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.dropped)
+    return out
+
+
 def content_nodes(root: Node) -> list[Node]:
     """The elements that hold the article, in page order."""
     body = next((n for n in _order(root) if n.tag == "body"), root)
@@ -216,6 +254,7 @@ def content_nodes(root: Node) -> list[Node]:
     if holder is None:
         below = [n for n in _order(best) if n.tag in ("article", "main") and n.chars]
         holder = max(below, key=lambda n: n.chars, default=None)
+    semantic = holder is not None
     if holder is None and best.tag not in BLOCK | {"#root"}:
         holder = next(n for n in path if n.tag in BLOCK or n is body)
     if holder is None and best.tag in ("p", "h1", "h2", "h3", "li", "pre", "blockquote") and best is not body:
@@ -223,6 +262,8 @@ def content_nodes(root: Node) -> list[Node]:
     top = holder or best
     if top is body:
         return [top]
+    if not semantic:
+        return _reaching(body, top, threshold)
     found = [
         x
         for x in top.parent.parts

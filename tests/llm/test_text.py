@@ -174,6 +174,15 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_parts_of_the_article_that_reach_the_threshold_stay():
+    lead, text, deep = (["".join(f"{w}{i} " for i in range(90)).strip() + f" {k}" for k in range(n)] for w, n in (("lead", 2), ("text", 5), ("deep", 2)))
+    p = lambda parts: "".join(f"<p>{x}</p>" for x in parts)
+    page = (f"<body><div id=wrap><h1>Headline</h1><div class=lead>{p(lead)}</div><ul><li><a href=#>x</a></ul>"
+            f"<div class=text>{p(text)}</div></div><div class=row><i>a</i><i>b</i><i>c</i><i>d</i><div>{p(deep)}</div></div></body>")
+    found = html_text.main_text(page).split("\n")
+    assert found == ["Headline", *lead, *text, *deep]
+
+
 RULES = queries.URL_RULES
 
 
