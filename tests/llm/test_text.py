@@ -174,6 +174,16 @@ def test_main_text_of_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p title=Bob's>It is long text by Anna's book</p>", "It is long text by Anna's book"),
+    ("<p \"x>one</p><p class = 'a > b' id=\"c > d\">two</p>", "one\ntwo"),
+    ("<p title=\"open>three</p>", "three"),
+    ("<article><p title=don't hidden>no</p><p =x>four</p></article>", "four"),
+])
+def test_a_stray_quote_hides_no_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_parts_of_the_article_that_reach_the_threshold_stay():
     lead, text, deep = (["".join(f"{w}{i} " for i in range(90)).strip() + f" {k}" for k in range(n)] for w, n in (("lead", 2), ("text", 5), ("deep", 2)))
     p = lambda parts: "".join(f"<p>{x}</p>" for x in parts)
