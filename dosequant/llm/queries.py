@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosequant.llm import (
+    bottom_k,
+    collocations,
     html_text,
     labelled,
     link_trust,
+    merkle,
     quality_rules,
     rule_ensemble,
     simhash,
@@ -121,6 +125,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted", "n_hits")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_hash(*[lowered if c == "text" else F.col(c) for c in merkle.LEAF_COLUMNS])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    documents = documents.withColumn("_tampered", F.when(chosen, tampered))
+    found = merkle.manifest(documents, carry=("_tampered",))
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("_tampered", "leaf"), F.col("witness")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle.proof_hash(F.col("witness")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_link_trust": op2_link_trust,
@@ -132,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
+    "op13_bottom_k": op13_bottom_k,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
@@ -140,6 +171,115 @@ _WORDS5 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+
+
+def _collocations_sql() -> str:
+    """All phrases counted, all cuts, and every part of every longer phrase."""
+    counted = " UNION ALL ".join(
+        f"SELECT lang, {m} AS m, array_to_string(list_slice(w, i, i + {m - 1}), ' ') AS p "
+        f"FROM (SELECT lang, w, unnest(range(1, len(w) - {m - 2})) AS i FROM pieces)"
+        for m in range(1, 6)
+    )
+    return rf"""
+WITH split AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents
+), pieces AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM split),
+f AS (SELECT lang, m, p, count(*) AS f FROM ({counted}) GROUP BY lang, m, p),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, p, string_split(p, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 100),
+parts AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS p, max(a) AS longer
+  FROM (SELECT lang, w, a, m, k, unnest(range(1, m - k + 2)) AS i
+        FROM (SELECT lang, w, a, m, unnest(range(2, m)) AS k FROM c))
+  GROUP BY ALL
+), left_over AS (
+  SELECT c.* FROM c LEFT JOIN parts USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+  SELECT lang, p, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head,
+    array_to_string(list_slice(w, k + 1, m), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM left_over)
+), scored AS (
+  SELECT cuts.lang, cuts.p, a, k, h.f AS l, t.f AS r, n,
+    (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.p = head JOIN f t ON t.lang = cuts.lang AND t.p = rest
+    JOIN total ON total.lang = cuts.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM lowest
+)
+SELECT lang, rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+def _merkle_sql(leaf_levels: int = 6, group_levels: int = 4) -> str:
+    """All levels written out: up to 16 ** 6 rows in a group and 16 ** 4 groups."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = " || ".join(value(c) for c in merkle.LEAF_COLUMNS)
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tampered = " || ".join(value(lowered if c == "text" else c) for c in merkle.LEAF_COLUMNS)
+    # cyclic redundancy check of the decimal digits, bit by bit
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {byte}), 4294967295)"
+    steps = [
+        f"""docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '-') AS g, sha256({leaf}) AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({tampered}) END AS tampered FROM documents
+)""",
+        """l0 AS (
+  SELECT g AS tree, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos,
+    leaf AS d, id FROM docs
+)""",
+    ]
+
+    def climb(name: str, levels: int) -> None:
+        for i in range(levels):
+            steps.append(
+                f"""{name}r{i} AS (
+  SELECT tree, pos // 16 AS run, string_agg(d, '' ORDER BY pos) AS t, count(*) AS many,
+    sum(count(*)) OVER (PARTITION BY tree) AS n FROM {name}{i} GROUP BY tree, pos // 16
+)"""
+            )
+            steps.append(
+                f"{name}{i + 1} AS (SELECT tree, run AS pos, CASE WHEN n = 1 THEN t ELSE sha256(t) END AS d FROM {name}r{i})"
+            )
+
+    climb("l", leaf_levels)
+    steps.append(
+        f"s0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree <> '-', tree) - 1 AS pos, d, tree AS g FROM l{leaf_levels})"
+    )
+    climb("s", group_levels)
+    joins, sides = [], []
+    for name, levels, at in (("l", leaf_levels, "l0.pos"), ("s", group_levels, "s0.pos")):
+        tree = "l0.tree" if name == "l" else "''"
+        for i in range(levels):
+            run = f"{name}r{i}"
+            joins.append(f"JOIN {run} ON {run}.tree = {tree} AND {run}.run = {at} // {16 ** (i + 1)}")
+            place = f"64 * (({at} // {16 ** i}) % 16)"
+            sides.append((f"substr({run}.t, 1, {place})", f"substr({run}.t, {place} + 65)", f"{run}.n > 1"))
+    proof = " || ".join(f"CASE WHEN {some} THEN {left} || {right} ELSE '' END" for left, right, some in sides)
+    steps.append(
+        f"""paths AS (
+  SELECT docs.doc_id, docs.leaf, s0.d AS subroot, s{group_levels}.d AS root, sha256({proof}) AS proof_sha256,
+    coalesce(tampered, leaf) AS f0,
+    {", ".join(f"CASE WHEN {some} THEN {left} END AS a{i}, CASE WHEN {some} THEN {right} END AS b{i}" for i, (left, right, some) in enumerate(sides))}
+  FROM docs JOIN l0 USING (id) JOIN s0 ON s0.g = docs.g JOIN s{group_levels} ON true
+  {" ".join(joins)}
+)"""
+    )
+    for i in range(len(sides)):
+        steps.append(
+            f"p{i + 1} AS (SELECT * EXCLUDE (f0), CASE WHEN a{i} IS NULL THEN f0 ELSE sha256(a{i} || f0 || b{i}) END AS f0 "
+            f"FROM {'paths' if i == 0 else f'p{i}'})"
+        )
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT doc_id, leaf, subroot, root, proof_sha256, f0 AS folded_root, "
+        f"f0 = root AS verified FROM p{len(sides)}"
+    )
+
+
 ORACLES: dict[str, str] = {
     "op3_window_dedup": r"""
 WITH d AS (
@@ -183,6 +323,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
+    "op11_collocations": _collocations_sql(),
+    "op12_merkle": _merkle_sql(),
     "op9_quality_rules": rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,

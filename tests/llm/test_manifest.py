@@ -1,0 +1,248 @@
+"""Merkle manifests and bottom-k fingerprints against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dosequant.llm import bottom_k, merkle, queries
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+
+def tree(nodes):
+    """The last node, and the siblings of each node, level by level: left, right."""
+    paths = [[] for _ in nodes]
+    at = list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[i : i + 16] for i in range(0, len(nodes), 16)]
+        for path, i in zip(paths, at):
+            run = runs[i // 16]
+            path.append((run[: i % 16], run[i % 16 + 1 :]))
+        at = [i // 16 for i in at]
+        nodes = [h(*run) for run in runs]
+    return nodes[0], paths
+
+
+def slow_manifest(rows):
+    """(doc_id, leaf, subroot, root, siblings by level) of rows (doc_id, source, lang, n_chars, text)."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, leaf(row), row))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    inner = {g: tree([x[2] for x in sorted(groups[g], key=lambda x: x[:3])]) for g in names}
+    root, outer = tree([inner[g][0] for g in names])
+    out = []
+    for g, above in zip(names, outer):
+        for (_, _, digest, row), path in zip(sorted(groups[g], key=lambda x: x[:3]), inner[g][1]):
+            out.append((row[0], digest, inner[g][0], root, path + above))
+    return out
+
+
+def expected(rows):
+    out = []
+    for i, digest, subroot, root, path in slow_manifest(rows):
+        out.append((str(i), digest, subroot, root, [("".join(a), "".join(b)) for a, b in path]))
+    return sorted(out)
+
+
+def in_order(rows):
+    """Rows as (doc_id, text, lang, source, n_chars)."""
+    return [(i, t, lang, s, n) for i, s, lang, n, t in rows]
+
+
+def many(n, source, start=0):
+    return [(start + i, source, "en", i % 7, f"text {i}") for i in range(n)]
+
+
+CASES = {
+    "one": [(1, "a", "en", 3, "abc")],
+    "one group": many(40, "a"),
+    "a group each": [(i, f"s{i}", None, None, None) for i in range(18)],
+    "sizes": many(1, "a") + many(15, "b") + many(16, "c") + many(17, "d") + many(256, "é") + many(257, None) + many(273, ""),
+    "blocks": many(4097, "hot") + many(4096, "x") + many(3, "y"),
+    "odd": [(None, "a", "en", None, None), (None, "a", "en", None, None), (5, "a", None, 0, ""), (5, "a", None, 0, "other"), (-7, None, "", -1, "Ünï\n")],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_manifest(spark, clashing, case):
+    rows = list(CASES[case])
+    random.Random(1).shuffle(rows)
+    docs = clashing(spark.createDataFrame(in_order(rows), DOCUMENTS)).repartition(5)
+    found = merkle.manifest(docs, carry=("weight",)).collect()
+    assert sorted((str(r.doc_id), r.leaf, r.subroot, r.root, [tuple(w) for w in r.witness]) for r in found) == expected(rows)
+    assert {r.weight for r in found} == {"x"}
+    by_group = {}
+    for r in found:
+        by_group.setdefault(r.source, []).append(r.position)
+    assert all(sorted(x) == list(range(len(x))) for x in by_group.values())
+
+
+def test_manifest_of_nothing(spark):
+    assert merkle.manifest(spark.createDataFrame([], DOCUMENTS)).collect() == []
+
+
+def test_hot_group_of_equal_rows(spark):
+    """A third of all rows alike: each has a place of its own."""
+    rows = [(None, None, None, None, "same")] * 700 + many(1400, "a")
+    found = merkle.manifest(spark.createDataFrame(in_order(rows), DOCUMENTS).repartition(8))
+    assert sorted((str(r.doc_id), r.leaf, r.subroot, r.root, [tuple(w) for w in r.witness]) for r in found.collect()) == expected(rows)
+
+
+def test_query_tells_tampered_rows(spark, tmp_path):
+    rows = [(i, f"s{i % 3}", "en", 4, ["Abcd", "abcd", None, ""][i % 4]) for i in range(200)]
+    spark.createDataFrame(in_order(rows), DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op12_merkle(spark, str(tmp_path)).collect()}
+    for i, digest, subroot, root, path in slow_manifest(rows):
+        row = next(r for r in rows if r[0] == i)
+        lowered = row[4].lower() if row[4] else row[4]
+        start = leaf((*row[:4], lowered)) if zlib.crc32(str(i).encode()) % 5 == 0 else digest
+        siblings = "".join("".join(a) + "".join(b) for a, b in path)
+        for a, b in path:
+            start = h(*a, start, *b)
+        r = found[i]
+        assert (r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root) == (digest, subroot, root, h(siblings), start)
+        assert r.verified == (start == root)
+    assert 0 < sum(not r.verified for r in found.values()) < 30
+
+
+def slow_least(text, k=bottom_k.K):
+    """By one text and shingle at a time; equal texts of shingles have equal hashes."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    shingles = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = [bottom_k.least_hashes([" ".join(s).encode()], k)[0] for s in shingles]
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))[:k], shingles
+
+
+def prose(seed, n, words=3000):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(words)}" + "é" * (rng.random() < 0.1) for _ in range(n))
+
+
+def documents():
+    rows = [(i, prose(i, 5 + 37 * i)) for i in range(25)]
+    rows += [(40, None), (41, ""), (42, " \n\t"), (43, "one"), (44, "one two\tthree four"), (45, "one two three four five")]
+    rows += [(50, prose(3, 300)), (51, prose(3, 300)), (52, prose(3, 300).replace("w1", "x1")), (53, prose(9, 30_000))]
+    rows += [(54, "x" * 50_001), (55, "é" * 11), (56, "\u0001 \u0002 ☃ " * 40)]
+    return rows
+
+
+def slow_edits(rows):
+    """For distinct documents: the text, the edited text and the next one."""
+    keyed = sorted(rows, key=lambda r: -(r[0] if r[0] is not None else -(1 << 63)))
+    out = {}
+    for (i, text), (_, after) in zip(keyed, keyed[1:] + keyed[:1]):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        out[i] = (text, text[: len(text) - half] + after[:half], after)
+    return out
+
+
+def check_edits(found, edits):
+    for r in found:
+        text, edited, after = edits[r.doc_id]
+        a, b, c = (slow_least(t)[0] for t in (text, edited, after))
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == bottom_k.to_text(a) and r.edited_fingerprint == bottom_k.to_text(b)
+        assert r.near_edited == bottom_k.resemblance(a, b) and r.near_next == bottom_k.resemblance(a, c)
+
+
+def test_edited_fingerprints(spark, clashing):
+    rows = documents()
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    found = bottom_k.edited_fingerprints(df).collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, _ in rows)
+    check_edits(found, slow_edits(rows))
+    assert bottom_k.edited_fingerprints(df.where("false")).collect() == []
+    one = bottom_k.edited_fingerprints(df.where("doc_id = 20")).collect()
+    check_edits(one, slow_edits([r for r in rows if r[0] == 20]))
+
+
+def test_edits_with_one_range_per_document(spark, set_conf):
+    """Ranges that hold one document each learn from the next what follows."""
+    set_conf(spark__sql__shuffle__partitions=16)
+    rows = [(i * i, prose(i, 20 + i)) for i in range(90)]
+    found = bottom_k.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == 90
+    check_edits(found, slow_edits(rows))
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    """Rows equal in id and text are one document; a third of all rows without an id,
+    with different texts, is cut into several ranges."""
+    rows = [(None, prose(i, 9)) for i in range(300)] + [(i, prose(500 + i, 8)) for i in range(500)]
+    same = [(7_000, prose(1, 40))] * 400
+    df = spark.createDataFrame(rows + same, "doc_id long, text string").repartition(7)
+    found = bottom_k.edited_fingerprints(df).collect()
+    assert len(found) == 1200
+    sevens = [r for r in found if r.doc_id == 7_000]
+    assert len(sevens) == 400 and len({r.edited_sha256 for r in sevens}) == 1
+    keys = df.select(*bottom_k._order("doc_id", "text"))
+    starts = bottom_k._ranges(keys, 32)
+    least = ~bottom_k._LEAST_ID
+    assert sum(place == least for place, _ in starts) > 3
+    of = bottom_k._range_of(*(np.array([r[i] for r in keys.where(f"place = {least}").collect()]) for i in (0, 1)), starts)
+    assert np.bincount(of).max() < 150
+    without = [r for r in found if r.doc_id is None]
+    texts = {hashlib.sha256(e.encode()).hexdigest() for e in _chain([t for i, t in rows if i is None], spark, found)}
+    assert {r.edited_sha256 for r in without} == texts
+
+
+def _chain(texts, spark, found):
+    """Edited texts of those without an id: in the order of their hash, then the first of all."""
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    ordered = [r.text for r in df.orderBy(F.xxhash64("text")).collect()]
+    for text, after in zip(ordered, ordered[1:] + [prose(1, 40)]):
+        half = len(text) // 2
+        yield text[: len(text) - half] + after[:half]
+
+
+def test_estimates(spark):
+    """Resemblance, containment and size against sets, and fingerprints that merge."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40_000)]
+    base = [rng.choice(words) for _ in range(4000)]
+    for share in (0.0, 0.2, 0.5, 0.9, 1.0):
+        cut = int(len(base) * share)
+        other = base[:cut] + [rng.choice(words) for _ in range(3000)]
+        (a, s), (b, t) = slow_least(" ".join(base), 128), slow_least(" ".join(other), 128)
+        assert abs(bottom_k.resemblance(a, b) - len(s & t) / len(s | t)) < 0.15
+        assert abs(bottom_k.containment(a, b) - len(s & t) / len(s)) < 0.2
+        assert 0.7 < bottom_k.distinct_shingles(a) / len(s) < 1.4
+        whole = bottom_k.least_hashes([(" ".join(base) + " ").encode(), " ".join(other).encode()])
+        assert bottom_k.to_text(whole[0]) == bottom_k.to_text(a)
+    empty = np.empty(0, np.uint64)
+    assert bottom_k.resemblance(empty, empty) == 1 and bottom_k.resemblance(empty, a) == 0
+    assert bottom_k.containment(empty, a) == 1 and bottom_k.containment(a, empty) == 0
+    assert bottom_k.from_text(bottom_k.to_text(a)).tolist() == a.tolist() and len(bottom_k.from_text(None)) == 0
+
+
+def test_merged_and_compared(spark, clashing):
+    rows = [(i, prose(i, 60 + i), ["a", "b", None][i % 3]) for i in range(60)] + [(90, None, "c"), (91, "", "c")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, part string")).repartition(6)
+    made = bottom_k.fingerprints(df)
+    assert {r.doc_id: r.fingerprint for r in made.collect()} == {i: bottom_k.to_text(slow_least(t)[0]) for i, t, _ in rows}
+    merged = {r.part: r for r in bottom_k.merged_fingerprints(made, "part").collect()}
+    for part in ("a", "b", None, "c"):
+        shingles = set().union(*(slow_least(t)[1] for _, t, p in rows if p == part))
+        hashes = [slow_least(" ".join(s))[0] for s in shingles]
+        least = bottom_k.merged(hashes)
+        assert merged[part].fingerprint == bottom_k.to_text(least)
+        assert merged[part].n_shingles == bottom_k.distinct_shingles(least)
+    whole = made.select("doc_id", "part", F.col("fingerprint").alias("left"))
+    pairs = whole.join(bottom_k.merged_fingerprints(made, "part").withColumnRenamed("fingerprint", "right"), "part")
+    found = bottom_k.compared(pairs, "left", "right").collect()
+    assert len(found) == 42 and all(0 <= r.resemblance <= 1 for r in found)
