@@ -3,34 +3,79 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dosequant.fixed_values import MONTH_PREFIXES, SHEET_EXTENSION
-from dosequant.functions.text import file_name_of_url
+from dosequant.functions.text import file_name_of_url, sql_text
 
-# What a parser would not see as links: comments, scripts and styles.
-NOT_CONTENT = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-)
+# What a parser would not see as links. What is never closed goes on to the end.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+NOT_CONTENT = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+# Between tags, this stands for a comment: a text before it and one behind it are two.
+NO_TEXT = "<!>"
+# What is inside a tag: values in quotes, which open after "=" only, and the rest.
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
 # An opening tag with its attributes, and what follows up to the end of the link.
-ANCHOR = (
-    r"""(?is)<a(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)(?=</a\b|<a\s|$)"""
-)
+ANCHOR = rf"(?is)<a(\s{INSIDE})>(.*?)(?=</a\b|<a\s|\z)"
 # Attributes before href, then its value in quotes of either kind or in none.
 HREF = (
-    r"""(?is)^(?:[\s/]+(?!href\s*=)[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+"""
-    r"""[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    r"""(?is)^(?:[\s/]+(?!href\s*=)[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?)*+"""
+    r"""[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
 )
-# The first text of the link's own, after any elements in front of it.
-OWN_TEXT = (
-    r"(?is)^(?:<([a-z][a-z0-9]*)\b[^>]*>.*?</\1\s*>|<(?:br|hr|img|wbr)\b[^>]*>)*+([^<]+)"
-)
-# Decoded last to first, so that an escaped reference stays one.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+# Tags and texts, one after the other.
+TOKEN = rf"(?is)<[a-z/!?]{INSIDE}>|[^<]++|<"
+# A character reference, or what lies between two of them.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|nbsp|amp);|[^&]++|&"
+# Elements without content, and characters by name.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
 def decoded(text: Column) -> Column:
-    """The text with the common character references spelled out."""
-    for reference, character in REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """The text with character references, by number or by common names, spelled out.
+
+    Each is decoded once, so that an escaped reference stays one. A number that is no
+    character becomes the replacement character.
+    """
+
+    def spelled(part: Column) -> Column:
+        digits = F.regexp_replace(part, "[&#;xX]", "")
+        number = F.when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        good = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number < 0x110000))
+        code = F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")
+        by_name = F.lit(None).cast("string")
+        for name, character in NAMED.items():
+            by_name = F.when(part == name, F.lit(character)).otherwise(by_name)
+        by_number = F.when(part.rlike("^&#[0-9xX]"), F.decode(F.unhex(code), "UTF-32"))
+        return F.coalesce(by_name, by_number, part)
+
+    parts = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, spelled), "")).otherwise(text)
+
+
+def own_text(content: str) -> Column:
+    """The first text directly in an element, from its content: not in one within it.
+
+    Reads tag after tag with the names of the elements that are open, so elements of
+    one kind within each other are told apart. An end tag closes the last element of
+    its name and all in it; one without such an element is passed over.
+    """
+    name = "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1))"
+    void = ", ".join(f"'{tag}'" for tag in VOID)
+    state = lambda open_, text, done: f"named_struct('open', {open_}, 'text', {text}, 'done', {done})"
+    still = f"{name} IN ({void}) OR t LIKE '%/>'"
+    closed = f"slice(s.open, 1, size(s.open) - cast(array_position(reverse(s.open), {name}) AS int))"
+    return F.expr(
+        f"""aggregate(
+          regexp_extract_all({content}, {sql_text(TOKEN)}, 0),
+          {state("cast(array() AS array<string>)", "''", "false")},
+          (s, t) -> CASE
+            WHEN s.done THEN s
+            WHEN rlike(t, '^<[a-zA-Z]') THEN {state(f"IF({still}, s.open, array_append(s.open, {name}))", "s.text", "s.text <> ''")}
+            WHEN rlike(t, '^</') THEN {state(f"IF(array_contains(s.open, {name}), {closed}, s.open)", "s.text", "s.text <> ''")}
+            WHEN rlike(t, '^<[!?]') THEN {state("s.open", "s.text", "s.text <> ''")}
+            WHEN size(s.open) = 0 THEN {state("s.open", "concat(s.text, t)", "false")}
+            ELSE s
+          END,
+          s -> s.text)"""
+    )
 
 
 def page_links(
@@ -42,10 +87,9 @@ def page_links(
     """Links whose text begins with one of `prefixes` and whose address holds
     `contains`; addresses not beginning with http get `host` in front.
 
-    A link's text is the first text directly in it; elements in front of that may
-    hold other elements, but not of their own kind.
+    A link's text is the first text directly in it, see `own_text`.
     """
-    content = F.regexp_replace("html", NOT_CONTENT, "")
+    content = F.regexp_replace(F.regexp_replace("html", COMMENT, NO_TEXT), NOT_CONTENT, "")
     attributes = F.regexp_extract("anchor", ANCHOR, 1)
     inside = F.regexp_extract("anchor", ANCHOR, 2)
     href = F.concat(*[F.regexp_extract("attributes", HREF, i) for i in (1, 2, 3)])
@@ -60,10 +104,9 @@ def page_links(
             ),
         )
         .select(
-            "page_id",
-            decoded(F.regexp_extract(inside, OWN_TEXT, 2)).alias("link_text"),
-            attributes.alias("attributes"),
+            "page_id", inside.alias("inside"), attributes.alias("attributes"),
         )
+        .select("page_id", decoded(own_text("inside")).alias("link_text"), "attributes")
         .select("page_id", "link_text", decoded(href).alias("href"))
         .where(begins & F.col("href").contains(contains))
         .select(

@@ -81,7 +81,8 @@ def reject_report(sheet: DataFrame, dispensing: DataFrame) -> DataFrame:
     unknown unit code, or with one that could not be read, gives no SQU, and one
     without a month ranks below all dated ones. A caller who wants such input to
     fail can check that every count is 0. What readers leave out of their tables is
-    in `sources.monthly_rejects` and `sources.unreadable_cells`.
+    in `sources.monthly_rejects` and `sources.unreadable_cells`. Dispensing rows with
+    a column `n` stand for as many.
     """
     text = "cast(adq_value AS string)"
     sheet_counts = (
@@ -94,10 +95,12 @@ def reject_report(sheet: DataFrame, dispensing: DataFrame) -> DataFrame:
             F.expr("count_if(value = 0)").alias("adq_value_zero"),
         )
     )
+    many = F.col("n") if "n" in dispensing.columns else F.lit(1).cast("long")
+    rows_where = lambda c: F.coalesce(F.sum(F.when(c, many)), F.lit(0).cast("long"))
     dispensing_counts = dispensing.agg(
-        F.count_if(~F.col("squ_code").isin(*SQU_LABELS)).alias("squ_code_unknown"),
-        F.count_if(F.col("squ_code").isNull()).alias("squ_code_unreadable"),
-        F.count_if(F.col("month").isNull()).alias("month_missing"),
+        rows_where(~F.col("squ_code").isin(*SQU_LABELS)).alias("squ_code_unknown"),
+        rows_where(F.col("squ_code").isNull()).alias("squ_code_unreadable"),
+        rows_where(F.col("month").isNull()).alias("month_missing"),
     )
 
     def as_rows(counts: DataFrame) -> DataFrame:

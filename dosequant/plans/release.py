@@ -18,7 +18,9 @@ from dosequant.operators.quality import (
     usage_delta,
 )
 from dosequant.plans.presentations import adq_by_presentation, adq_inputs, computed_adqs
+from dosequant.sources.monthly import MonthlyFiles
 from dosequant.sources.sinks import dated_path
+from dosequant.sources.tables import CsvTable
 
 
 class Release:
@@ -32,6 +34,10 @@ class Release:
     of published runs, and readers take the last run published for the date, so they
     see all tables of one run or of the one before, also if a run stops half-way.
     With `csv=True` every table is written as CSV with headings as well.
+
+    Inputs are DataFrames, or `MonthlyFiles` and `CsvTable`. The cells of those are
+    read once and kept as a table of texts, and what they hold that cannot be read
+    is reported beside what the rules cannot use.
     """
 
     def __init__(self, spark: SparkSession, folder: str, run_date: date, csv: bool = False):
@@ -67,10 +73,10 @@ class Release:
 
     def run(
         self,
-        dictionary: dict[str, DataFrame],
-        dispensing: DataFrame,
-        prescribing: DataFrame,
-        adq_sheet: DataFrame,
+        dictionary: dict[str, DataFrame | CsvTable],
+        dispensing: DataFrame | MonthlyFiles,
+        prescribing: DataFrame | CsvTable,
+        adq_sheet: DataFrame | CsvTable,
         squ_join: str = "left",
         null_unit: str | None = "",
         squs: Callable[[DataFrame], DataFrame] = squ_latest,
@@ -79,6 +85,8 @@ class Release:
 
         `dictionary` holds the arguments of `product_details`. `squs` makes the SQU
         table of the dispensing rows: `squ_latest`, or `squ_pairs` for every pair.
+        The table `rejects` counts, for each kind, what could not be read or used; of
+        the cells of a `CsvTable` as `<input>.<column>_unreadable`.
         """
         self.run_id = uuid.uuid4().hex
         try:
@@ -88,7 +96,25 @@ class Release:
         finally:
             self.run_id = None
 
+    def _input(self, name: str, source: DataFrame | CsvTable | MonthlyFiles, rejects: list[DataFrame]) -> DataFrame:
+        """The rows of an input; what its cells cannot tell is added to `rejects`."""
+        if isinstance(source, DataFrame):
+            return source
+        if isinstance(source, MonthlyFiles):
+            cells = self.keep(f"texts_{name}", source.counted())
+            rejects.append(source.rejects(cells))
+            return source.dispensing(cells)
+        texts = self.keep(f"texts_{name}", source.texts())
+        reject = F.concat(F.lit(f"{name}."), F.col("column"), F.lit("_unreadable"))
+        rejects.append(source.rejects(texts).select(reject.alias("reject"), "n"))
+        return source.table(texts)
+
     def _tables(self, dictionary, dispensing, prescribing, adq_sheet, squ_join, null_unit, squs):
+        rejects: list[DataFrame] = []
+        dictionary = {name: self._input(name, source, rejects) for name, source in dictionary.items()}
+        dispensing = self._input("dispensing", dispensing, rejects)
+        prescribing = self._input("prescribing", prescribing, rejects)
+        adq_sheet = self._input("adq_sheet", adq_sheet, rejects)
         products = self.keep("products", product_details(**dictionary))
         squs = self.keep("squs", squs(dispensing))
         provided = self.keep("provided_adqs", representative_presentation(prescribing))
@@ -99,5 +125,9 @@ class Release:
         delta = self.keep("delta", usage_delta(comparison))
         self.keep("high", high_usage(delta))
         self.keep("practice_usage", practice_usage(prescribing, presentations))
-        self.keep("rejects", reject_report(adq_sheet, dispensing))
+        found = reject_report(adq_sheet, dispensing)
+        for more in rejects:
+            # what a row cannot tell may be counted with the row as well
+            found = found.unionByName(more.join(found, "reject", "left_anti"))
+        self.keep("rejects", found)
         return self.keep("qa_summary", qa_summary(comparison))

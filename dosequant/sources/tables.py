@@ -1,6 +1,4 @@
-"""Readers: CSV tables with missing-value texts, and monthly dispensing files."""
-
-import csv
+"""Readers of CSV tables with missing-value texts."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
@@ -15,18 +13,10 @@ from pyspark.sql.types import (
 
 from dosequant.functions.text import null_if_token, number_sql
 
-MONTHLY_GLOB = "PCA*"
-MONTHLY_HEADINGS = {
-    "bnf_code": "BNF Code",
-    "squ_code": "Standard Quantity Unit",
-    "preparation_class": "Preparation Class",
-}
-
-
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+([.]0*)?\s*$"
 
 
-def _csv_reader(spark: SparkSession, multi_line: bool = False):
+def csv_reader(spark: SparkSession, multi_line: bool = False):
     # Quotes inside quoted cells are doubled, not escaped with a backslash.
     return spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
 
@@ -75,12 +65,35 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     ones in another order, fails when it is read. Cells with line breaks need
     `multi_line`, which reads each file in one task.
     """
-    names = _csv_reader(spark, multi_line).option("header", True).csv(path).columns
+    names = csv_reader(spark, multi_line).option("header", True).csv(path).columns
     text = StructType([StructField(name, StringType()) for name in names])
-    reader = _csv_reader(spark, multi_line).schema(text).option("enforceSchema", False)
+    reader = csv_reader(spark, multi_line).schema(text).option("enforceSchema", False)
     return reader.option("header", True).csv(path)
 
 
+class CsvTable:
+    """A table in CSV files, with what reading it as `schema` has to leave out.
+
+    `texts` are its cells as they are written. Kept as a table, they give both the
+    typed rows and the rejects without reading the files again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, multi_line: bool = False, by_position: bool = False):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.multi_line, self.by_position = multi_line, by_position
+
+    def texts(self) -> DataFrame:
+        found = read_csv_text(self.spark, self.path, self.multi_line)
+        return found.toDF(*self.schema.names) if self.by_position else found.select(*[f"`{c}`" for c in self.schema.names])
+
+    def table(self, texts: DataFrame | None = None) -> DataFrame:
+        return typed_cells(texts or self.texts(), self.schema)
+
+    def rejects(self, texts: DataFrame | None = None) -> DataFrame:
+        """(column, n): cells that are not of their column's type."""
+        return unreadable_cells(texts or self.texts(), self.schema)
+
+
 def read_csv_table(
     spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
 ) -> DataFrame:
@@ -91,160 +104,11 @@ def read_csv_table(
     declared, never inferred: that would read the data twice and could differ from
     one delivery to the next.
     """
-    return typed_cells(read_csv_text(spark, path, multi_line), schema)
+    return CsvTable(spark, path, schema, multi_line).table()
 
 
 def read_adq_sheet(
     spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
 ) -> DataFrame:
     """A CSV sheet whose columns are taken by position and renamed to `schema`."""
-    return typed_cells(read_csv_text(spark, path, multi_line).toDF(*schema.names), schema)
-
-
-def month_of_file(file_name: Column) -> Column:
-    """First day of the month named in a file name, else NULL.
-
-    Reads `PCA_Sept_2018`, `PCA Sept18`, `PCA_2018_Sept` and `PCA_201809`; a month's
-    name counts only if it is a word of its own.
-    """
-    # File names come with spaces written as %20.
-    name = F.lower(F.replace(file_name, F.lit("%20"), F.lit(" ")))
-    word = (
-        r"(?<![a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-        r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?(?![a-z])"
-    )
-    forms = [  # pattern, groups of month and year, format
-        (rf"{word}[^a-z0-9]*([0-9]{{4}}|[0-9]{{2}})(?![0-9])", 1, 2, "MMM"),
-        (rf"(?<![0-9])([0-9]{{4}})[^a-z0-9]*{word}", 2, 1, "MMM"),
-        (r"(?<![0-9])((?:19|20)[0-9]{2})[-_. ]?(0[1-9]|1[0-2])(?![0-9])", 2, 1, "MM"),
-    ]
-    found = []
-    for pattern, month_at, year_at, form in forms:
-        month = F.initcap(F.regexp_extract(name, pattern, month_at))
-        year = F.regexp_extract(name, pattern, year_at)
-        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-        found.append(F.try_to_timestamp(F.concat_ws(" ", month, year), F.lit(f"{form} yyyy")))
-    return F.coalesce(*found).cast("date")
-
-
-def _lines(spark: SparkSession, directory: str) -> DataFrame:
-    files = spark.read.option("pathGlobFilter", MONTHLY_GLOB).text(directory)
-    return files.select("_metadata.file_path", "value")
-
-
-def monthly_layouts(spark: SparkSession, directory: str) -> dict[str, dict[str, int] | None]:
-    """Where each CSV file of a directory has its columns, by its first line with
-    the needed headings; None for a file without such a line.
-
-    One row per file reaches the driver, which lists the files anyway.
-    """
-    needed = [MONTHLY_HEADINGS["bnf_code"], MONTHLY_HEADINGS["squ_code"]]
-    line = F.col("value")
-    is_heading = line.contains(needed[0]) & line.contains(needed[1])
-    per_file = _lines(spark, directory).groupBy("file_path").agg(
-        F.max(F.when(is_heading, line)).alias("line")
-    )
-    layouts: dict[str, dict[str, int] | None] = {}
-    for path, text in per_file.collect():
-        cells = [c.strip().lstrip("\ufeff") for c in next(csv.reader([text]))] if text else []
-        places = {c: cells.index(h) for c, h in MONTHLY_HEADINGS.items() if h in cells}
-        layouts[path] = places if {"bnf_code", "squ_code"} <= places.keys() else None
-    return layouts
-
-
-def _monthly_cells(
-    spark: SparkSession, directory: str, file_format: str,
-    layout: dict[str, int] | None, without_headings: str, multi_line: bool,
-) -> DataFrame:
-    """The needed cells of all files as texts, with their file."""
-    if file_format == "parquet":
-        files = spark.read.option("pathGlobFilter", MONTHLY_GLOB).parquet(directory)
-        return files.select(
-            F.col("_metadata.file_path").alias("file_path"),
-            *[F.col(h).cast("string").alias(c) for c, h in MONTHLY_HEADINGS.items()],
-        )
-    if layout is None:
-        found = monthly_layouts(spark, directory)
-        without = sorted(path for path, places in found.items() if places is None)
-        if without and without_headings == "fail":
-            raise ValueError(f"no headings {list(MONTHLY_HEADINGS.values())} in {without}")
-        layouts = {path: places for path, places in found.items() if places}
-    else:
-        layouts = {"": layout}
-    width = 1 + max((at for places in layouts.values() for at in places.values()), default=0)
-    columns = [f"_c{i}" for i in range(width)]
-    text = StructType([StructField(c, StringType()) for c in columns])
-    rows = (
-        _csv_reader(spark, multi_line)
-        .schema(text)
-        .option("pathGlobFilter", MONTHLY_GLOB)
-        .csv(directory)
-        .select("_metadata.file_path", F.array(*columns).alias("cells"))
-    )
-    if layout is None:
-        places = spark.createDataFrame(
-            [(path, *[places.get(c) for c in MONTHLY_HEADINGS]) for path, places in layouts.items()],
-            "file_path string, " + ", ".join(f"at_{c} int" for c in MONTHLY_HEADINGS),
-        )
-        rows = rows.join(places, "file_path")
-    else:
-        rows = rows.withColumns({f"at_{c}": F.lit(layout.get(c)).cast("int") for c in MONTHLY_HEADINGS})
-    return rows.select(
-        "file_path", *[F.get("cells", F.col(f"at_{c}")).alias(c) for c in MONTHLY_HEADINGS]
-    ).where(f"NOT trim(bnf_code) <=> '{MONTHLY_HEADINGS['bnf_code']}'")
-
-
-def read_monthly(
-    spark: SparkSession, directory: str, file_format: str = "csv",
-    layout: dict[str, int] | None = None, without_headings: str = "fail", multi_line: bool = False,
-) -> DataFrame:
-    """All monthly dispensing files of a directory as one table, with their month.
-
-    Parquet files have their columns by heading. CSV files start with a banner and
-    may order their columns differently; each file's heading line, wherever it
-    stands, tells where its cells are, and a file without one fails, or is left out
-    with `without_headings="skip"`. Finding the headings reads all lines once; a
-    `layout` of column positions (from 0) that holds for all files saves that.
-
-    Rows without a code or a unit code, banners and headings among them, are
-    dropped. A row whose unit code is no whole number stays, without one, and is
-    counted by `reject_report`; so does one without preparation class or month.
-    """
-    cells = _monthly_cells(spark, directory, file_format, layout, without_headings, multi_line)
-    return (
-        cells.where(null_if_token("squ_code").isNotNull())
-        .select(
-            null_if_token("bnf_code").alias("bnf_code"),
-            F.expr(whole_number_sql("squ_code", "int")).alias("squ_code"),
-            F.expr(whole_number_sql("preparation_class", "int")).alias("preparation_class"),
-            month_of_file(F.element_at(F.split("file_path", "/"), -1)).alias("month"),
-        )
-        .where("bnf_code IS NOT NULL")
-    )
-
-
-def monthly_rejects(
-    spark: SparkSession, directory: str, file_format: str = "csv",
-    layout: dict[str, int] | None = None, multi_line: bool = False,
-) -> DataFrame:
-    """What `read_monthly` leaves out or reads as missing, as rows (reject, n): cells
-    that are no whole numbers, rows without a unit code, undated files and files
-    without headings."""
-    cells = _monthly_cells(spark, directory, file_format, layout, "skip", multi_line)
-    cells = cells.where(null_if_token("bnf_code").isNotNull())
-    wrong = lambda c: null_if_token(c).isNotNull() & F.expr(whole_number_sql(c, "int")).isNull()
-    counts = cells.agg(
-        F.count_if(wrong("squ_code")).alias("squ_code_unreadable"),
-        F.count_if(null_if_token("squ_code").isNull()).alias("squ_code_missing"),
-        F.count_if(wrong("preparation_class")).alias("preparation_class_unreadable"),
-    )
-    undated = (
-        cells.groupBy("file_path").agg(F.count("*"))
-        .agg(F.count_if(month_of_file(F.element_at(F.split("file_path", "/"), -1)).isNull()).alias("file_undated"))
-    )
-    bare = 0
-    if file_format != "parquet" and layout is None:
-        bare = sum(places is None for places in monthly_layouts(spark, directory).values())
-    bare = spark.range(1).select(F.lit(bare).cast("long").alias("file_without_headings"))
-    found = [x.unpivot([], x.columns, "reject", "n") for x in (counts, undated, bare)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return CsvTable(spark, path, schema, multi_line, by_position=True).table()

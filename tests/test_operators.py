@@ -357,3 +357,34 @@ def test_options_of_the_whole_computation(spark):
     assert {r.bnf_code for r in inner.collect()} == {"A"}
     collapsed = adq_by_presentation(left)
     assert sorted(r.bnf_code for r in collapsed.collect()) == ["A", "B"]
+
+
+LINKS = {
+    "nested elements of one kind": ('<a href="/1.xls"><span><span>i</span></span>Jan 1</a>', "Jan 1"),
+    "deeper": ('<a href="/1.xls"><b><i>x</i><b>y</b>z</b><i></i>Jan 1<b>2</b></a>', "Jan 1"),
+    "text of a nested element only": ('<a href="/1.xls"><span>Jan 1</span></a>', None),
+    "blank text first": ('<a href="/1.xls"> <b>x</b>Jan 1</a>', None),
+    "numeric references": ('<a href="/1.xls">&#74;an &#x31;&#x2019;&#128512;</a>', "Jan 1’\U0001f600"),
+    "no character": ('<a href="/1.xls">Jan &#0;&#xD800;</a>', "Jan ��"),
+    "escaped reference": ('<a href="/1.xls">Jan &amp;#74;&amp;lt;</a>', "Jan &#74;&lt;"),
+    "unknown reference": ('<a href="/1.xls">Jan &x; & 1</a>', "Jan &x; & 1"),
+    "elements without content": ('<a href="/1.xls"><img src="x>y"><br/>Jan 1</a>', "Jan 1"),
+    "end tag of nothing": ('<a href="/1.xls"></i>Jan 1</a>', "Jan 1"),
+    "unclosed elements": ('<a href="/1.xls"><i><b>x</i>Jan 1</a>', "Jan 1"),
+    "comment in the text": ('<a href="/1.xls">Jan<!-- 1 --> 2</a>', "Jan"),
+    "quote in a value": ("<a title=Bob's href=/1.xls>Jan 1</a><p>it's</p>", "Jan 1"),
+    "quoted end of tag": ('<a title="a>b" href="/1.xls">Jan 1</a>', "Jan 1"),
+    "unclosed comment": ('<!-- <a href="/1.xls">Jan 1</a>', None),
+    "unclosed script": ('<script> <a href="/1.xls">Jan 1</a>', None),
+    "other attribute": ('<a data-href="/1.xls">Jan 1</a>', None),
+    "unclosed link": ('<a href="/1.xls">Jan 1', "Jan 1"),
+    "address with references": ('<a href="/1.xls?a&amp;b&#61;c">Jan 1</a>', "Jan 1"),
+}
+
+
+def test_text_of_links(spark):
+    pages = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(LINKS.values())], "page_id long, html string")
+    found = {r.page_id: r for r in page_links(pages, "https://host").collect()}
+    for i, (name, (_, text)) in enumerate(LINKS.items()):
+        assert (found[i].link_text if i in found else None) == text, name
+    assert found[len(LINKS) - 1].url == "https://host/1.xls?a&b=c"

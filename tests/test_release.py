@@ -9,6 +9,7 @@ from dosequant import schemas
 from dosequant.checks.registry import QUERIES, Inputs
 from dosequant.operators import squ_pairs
 from dosequant.plans import Release
+from dosequant.sources import CsvTable, MonthlyFiles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -89,3 +90,36 @@ def test_a_run_that_fails_publishes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         release.run(**changed)
     assert {name: rows(release.read(name)) for name in before} == before
+
+
+def test_rejects_of_a_whole_run(spark, tmp_path):
+    """Inputs given as files report what their cells do not tell, and give the same tables."""
+    arguments = small_run(spark)
+    plain = Release(spark, str(tmp_path / "plain"), date(2018, 8, 30))
+    plain.run(**arguments)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "PCA_Jan_2018.csv").write_text(
+        "by BNF Code and Standard Quantity Unit\nBNF Code,Standard Quantity Unit,Preparation Class\nA,1,1\nA,1,1\nB,,1\nB,x,1\nC,7,q\n"
+    )
+    (tmp_path / "in" / "PCA_2018.csv").write_text("nothing\n")
+    (tmp_path / "vmp.csv").write_text("vpid,df_indcd,udfs,udfs_uomcd,unit_dose_uomcd\n1,1,1.0,1,2\n2,x,1.0,1.5,2\n")
+    (tmp_path / "adqs.csv").write_text("Code,Name,Value,Unit\nA,a 5mg,10,mg\nB,b,0,mg\n")
+    (tmp_path / "prescribing.csv").write_text(
+        "Practice_Code,BNF_Code,BNF_Description,Items,Quantity,ADQ_Usage\nP,A,a,1,2,3.0\nP,B,b,one,2,3.0\n"
+    )
+    arguments["dispensing"] = MonthlyFiles(spark, str(tmp_path / "in"), without_headings="skip")
+    arguments["dictionary"]["vmp"] = CsvTable(spark, str(tmp_path / "vmp.csv"), schemas.DMD_VMP)
+    arguments["adq_sheet"] = CsvTable(spark, str(tmp_path / "adqs.csv"), schemas.ADQ_SHEET, by_position=True)
+    arguments["prescribing"] = CsvTable(spark, str(tmp_path / "prescribing.csv"), schemas.PRESCRIBING)
+    release = Release(spark, str(tmp_path / "files"), date(2018, 8, 30))
+    release.run(**arguments)
+    for name in ("products", "squs", "computed_adqs"):
+        of_a = lambda r: rows(r.read(name).where("bnf_code = 'A'"))  # noqa: B023, E731
+        assert of_a(release) == of_a(plain), name
+    found = {r.reject: r.n for r in release.read("rejects").collect() if r.n}
+    assert found == {
+        "adq_value_zero": 1, "squ_code_unknown": 1, "squ_code_unreadable": 1, "squ_code_missing": 1,
+        "preparation_class_unreadable": 1, "file_without_headings": 1,
+        "vmp.df_indcd_unreadable": 1, "vmp.udfs_uomcd_unreadable": 1, "prescribing.Items_unreadable": 1,
+    }
+    assert release.read("rejects").count() == release.read("rejects").select("reject").distinct().count()

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosequant import schemas
-from dosequant.operators import squ_latest, squ_pairs
+from dosequant.operators import reject_report, squ_latest, squ_pairs
 from dosequant.plans import computed_adqs
 from dosequant.sources import (
+    MonthlyFiles,
+    monthly_layouts,
     monthly_rejects,
     read_adq_sheet,
     read_csv_table,
@@ -17,8 +19,8 @@ from dosequant.sources import (
     unreadable_cells,
     write_dated,
 )
-from dosequant.sources.tables import month_of_file
-from dosequant.streaming import accumulate_squ_pairs
+from dosequant.sources.monthly import month_of_file
+from dosequant.streaming import accumulate_latest_squs, accumulate_squ_pairs, latest_squs
 
 
 def test_csv_cells(spark, tmp_path):
@@ -212,3 +214,92 @@ def test_two_sources_keep_their_own_progress(spark, tmp_path):
         output, progress = str(tmp_path / name / "out"), str(tmp_path / name / "progress")
         accumulate_squ_pairs(spark, source, output, progress).awaitTermination()
         assert [tuple(r) for r in spark.read.parquet(output).collect()] == [(code, "unit")]
+
+
+BANNERS = {
+    "names both headings": "Prescription Cost Analysis by BNF Code and Standard Quantity Unit\nBNF Code,Preparation Class,Standard Quantity Unit\n",
+    "in quotes, with commas": '"by BNF Code, Standard Quantity Unit",2018,1\nBNF Code,Preparation Class,Standard Quantity Unit\n',
+    "with cells like a row": "Z,1,3\n\nBNF Code,Preparation Class,Standard Quantity Unit\n",
+    "quoted headings": 'banner\n"BNF Code", "Preparation Class" ,"Standard Quantity Unit"\n',
+    "quotes in headings": '"BNF ""Code"", BNF Code, Standard Quantity Unit"\nBNF Code,Preparation Class,Standard Quantity Unit\n',
+    "byte order mark": "\ufeffBNF Code,Preparation Class,Standard Quantity Unit\n",
+    "many lines": "line,1,1\n" * 300 + "BNF Code,Preparation Class,Standard Quantity Unit\n",
+}
+
+
+@pytest.mark.parametrize("banner", BANNERS)
+def test_headings_below_any_banner(spark, tmp_path, banner):
+    """The first line with the headings as cells counts; a later one is no row."""
+    later = "Standard Quantity Unit,Preparation Class,BNF Code\n"
+    text = BANNERS[banner] + 'A,1,3\n"B",2,"1"\n' + later + "C,1,6\n"
+    (tmp_path / "PCA_Jan_2018.csv").write_text(text)
+    assert [*monthly_layouts(spark, str(tmp_path)).values()] == [{"bnf_code": 0, "preparation_class": 1, "squ_code": 2}]
+    files = MonthlyFiles(spark, str(tmp_path))
+    rows = files.dispensing().where("bnf_code <> 'Standard Quantity Unit'").collect()
+    assert sorted((r.bnf_code, r.squ_code, r.preparation_class) for r in rows) == [("A", 3, 1), ("B", 1, 2), ("C", 6, 1)]
+
+
+def test_headings_of_a_file_in_many_splits(spark, tmp_path, set_conf):
+    """The order of lines holds across splits, and settings may change in between."""
+    set_conf(spark__sql__files__maxPartitionBytes="2k", spark__sql__files__openCostInBytes="1")
+    lines = ["banner"] + [f"X{i},1,3" for i in range(400)]  # above the headings: no rows
+    lines += ["BNF Code,Preparation Class,Standard Quantity Unit"] + [f"A{i},1,3" for i in range(2000)]
+    lines += ["Standard Quantity Unit,BNF Code,Preparation Class"] + [f"B{i},1,6" for i in range(500)]
+    (tmp_path / "PCA_Jan_2018.csv").write_text("\n".join(lines) + "\n")
+    files = MonthlyFiles(spark, str(tmp_path))
+    expected = {f"A{i}" for i in range(2000)} | {f"B{i}" for i in range(500)}
+    found = files.dispensing()
+    assert found.rdd.getNumPartitions() > 3
+    assert {r.bnf_code for r in found.where("squ_code IS NOT NULL").collect()} == expected
+    set_conf(spark__sql__files__maxPartitionBytes="7k")
+    assert {r.bnf_code for r in files.dispensing().where("squ_code IS NOT NULL").collect()} == expected
+
+
+def test_rows_and_rejects_of_one_scan(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "PCA_Jan_2018.csv").write_text(
+        "Prescription Cost Analysis\nBNF Code,Standard Quantity Unit,Preparation Class\n"
+        + "A,3,1\nA,3,1\nA,x,1\nA,x,1\nB,,1\nC,1,y\nD,9,1\n"
+    )
+    (tmp_path / "in" / "PCA_notes.csv").write_text("BNF Code,Standard Quantity Unit\nE,6\n")
+    files = MonthlyFiles(spark, str(tmp_path / "in"))
+    counted = files.counted()
+    assert counted._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    counted.write.parquet(str(tmp_path / "cells"))
+    kept = spark.read.parquet(str(tmp_path / "cells"))
+    whole = {r.reject: r.n for r in files.rejects().collect()}
+    assert whole == {r.reject: r.n for r in files.rejects(kept).collect()} == {
+        "squ_code_unreadable": 2, "squ_code_missing": 1, "preparation_class_unreadable": 1, "file_undated": 1, "file_without_headings": 0,
+    }
+    report = lambda rows: {r.reject: r.n for r in reject_report(spark.createDataFrame([], schemas.ADQ_SHEET), rows).collect()}
+    assert report(files.dispensing()) == report(files.dispensing(kept)) == {
+        "adq_value_unreadable": 0, "adq_value_zero": 0, "squ_code_unknown": 1, "squ_code_unreadable": 2, "month_missing": 1,
+    }
+    assert sorted(map(tuple, squ_latest(files.dispensing(kept)).collect())) == [("A", "ml"), ("C", "unit"), ("E", "g")]
+
+
+def test_latest_squs_month_by_month(spark, tmp_path):
+    """A late month changes nothing, the larger code wins a tie, a rerun repeats itself."""
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda: accumulate_latest_squs(spark, source, output, str(tmp_path / "progress")).awaitTermination()
+    day = lambda m: date(2018, m, 1)
+    steps = [
+        ([("A", 1, 1, day(3)), ("B", 3, 1, day(3)), ("B", 1, 4, day(4))], [("A", "unit"), ("B", "ml")]),
+        ([("A", 3, 1, day(1)), ("C", 6, None, None)], [("A", "unit"), ("B", "ml"), ("C", "g")]),  # late
+        ([("A", 0, 1, day(3)), ("B", 6, 1, day(3))], [("A", "unit"), ("B", "g"), ("C", "g")]),  # tie
+        ([("A", 3, 1, day(5)), ("C", 1, 1, day(1))], [("A", "ml"), ("B", "g"), ("C", "unit")]),
+    ]
+    seen = []
+    for rows, expected in steps:
+        spark.createDataFrame(rows, schemas.DISPENSING).write.mode("append").parquet(source)
+        run()
+        found = sorted(map(tuple, latest_squs(spark, output).collect()))
+        assert found == expected
+        seen += rows
+        whole = squ_latest(spark.createDataFrame(seen, schemas.DISPENSING))
+        assert found == sorted(map(tuple, whole.collect()))
+    run()  # nothing new
+    assert sorted(map(tuple, latest_squs(spark, output).collect())) == found
+    # a batch that failed before its version was complete is not read
+    spark.createDataFrame([("A", "x")], schemas.SQUS).write.parquet(f"{output}/versions/99")
+    assert sorted(map(tuple, latest_squs(spark, output).collect())) == found
