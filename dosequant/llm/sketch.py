@@ -1,8 +1,9 @@
 """Count-min sketch of 64-bit keys, built per partition and merged by Spark.
 
 Every batch sends, for each row of the sketch, the cells it hits and how often. Cells
-are cut into shards, which are merged apart from each other. What remains of the sum
-is two bits per cell: whether a key that hits it may occur twice, and whether often.
+are cut into shards, which are added up one after the other, row by row. What remains
+of the sum is two bits per cell: whether a key that hits it may occur twice, and
+whether often.
 Counts are never too low; the size is fixed by its parameters, whatever the input.
 """
 
@@ -12,7 +13,6 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,13 +28,13 @@ def _cell(keys: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
     return mixed >> np.uint64(64 - cell_bits)
 
 
-def _sent(keys: np.ndarray, cell_bits: int) -> Iterator[pa.RecordBatch]:
+def _sent(keys: np.ndarray, cell_bits: int, often: int) -> Iterator[pa.RecordBatch]:
     """Cells hit by the keys of one batch, as two-byte numbers in their shard."""
     ids, payloads, extras = [], [], []
     for row in range(ROWS):
         cells = np.sort(_cell(keys, row, cell_bits))
         first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        counts = np.minimum(np.diff(np.append(first, len(cells))), OFTEN).astype(np.uint8)
+        counts = np.minimum(np.diff(np.append(first, len(cells))), often).astype(np.uint8)
         cells = cells[first]
         shard = (cells >> np.uint64(SHARD_BITS)).astype(np.int64)
         low = (cells & np.uint64(_SHARD - 1)).astype(np.uint16)
@@ -49,15 +49,32 @@ def _sent(keys: np.ndarray, cell_bits: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(_SHARD, np.int32)
-    for cells, counts in zip(group["cells"], group["counts"]):
-        at = np.frombuffer(cells, np.uint16)
-        total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint8), OFTEN)
-    packed = lambda bits: zlib.compress(np.packbits(bits).tobytes(), 1)
-    return pd.DataFrame(
-        {"shard": [int(group["shard"].iloc[0])], "twice": [packed(total >= 2)], "often": [packed(total >= OFTEN)]}
-    )
+def _merged(often: int):
+    """The bits of each shard, from rows sorted by shard; one shard is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda bits: zlib.compress(np.packbits(bits).tobytes(), 1)
+        current, total = None, np.zeros(_SHARD, np.int32)
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int32()), pa.array([packed(total >= 2)]), pa.array([packed(total >= often)])],
+                ["shard", "twice", "often"],
+            )
+
+        for batch in batches:
+            for shard, cells, counts in zip(*(batch.column(i) for i in range(3))):
+                if shard.as_py() != current:
+                    if current is not None:
+                        yield done()
+                    current = shard.as_py()
+                    total[:] = 0
+                at = np.frombuffer(cells.as_buffer(), np.uint16)
+                total[at] = np.minimum(total[at] + np.frombuffer(counts.as_buffer(), np.uint8), often)
+        if current is not None:
+            yield done()
+
+    return run
 
 
 class Estimate:
@@ -92,13 +109,14 @@ def estimate(
     df: DataFrame,
     keys: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]],
     cell_bits: int | None = None,
+    often: int | None = None,
 ) -> Callable[[], Estimate]:
     """The sketch of the keys that `keys` makes of the batches of `df`.
 
     Two bits per cell reach the driver and are broadcast, compressed: at most
     2 * ROWS * 2**cell_bits bits, 32 MB with CELL_BITS.
     """
-    cell_bits = cell_bits or CELL_BITS
+    cell_bits, often = cell_bits or CELL_BITS, often or OFTEN
 
     def run(batches):
         held, size = [], 0
@@ -106,16 +124,17 @@ def estimate(
             held.append(found)
             size += len(found)
             if size >= 1 << 20:
-                yield from _sent(np.concatenate(held), cell_bits)
+                yield from _sent(np.concatenate(held), cell_bits, often)
                 held, size = [], 0
         if size:
-            yield from _sent(np.concatenate(held), cell_bits)
+            yield from _sent(np.concatenate(held), cell_bits, often)
 
     spark = df.sparkSession
     merged = (
         df.mapInArrow(run, "shard int, cells binary, counts binary")
-        .groupBy("shard")
-        .applyInPandas(_merge, "shard int, twice binary, often binary")
+        .repartition("shard")
+        .sortWithinPartitions("shard")
+        .mapInArrow(_merged(often), "shard int, twice binary, often binary")
     )
     sent = spark.sparkContext.broadcast({shard: (bytes(a), bytes(b)) for shard, a, b in merged.toLocalIterator()})
     built: list[Estimate] = []

@@ -12,9 +12,14 @@ Neighbouring starts mostly share it; they form a segment and travel together wit
 the bytes they cover. Only buckets that a count-min sketch takes for repeated
 travel. A batch first refines its own: starts that are equal there are decided on,
 and of each string one start goes on, so a group of copies shrinks to one row per
-batch. Starts of frequent buckets travel one by one, without bytes, to the identifier
-of their whole string, so what meets there is equal however many strings share a
-sequence.
+batch.
+
+A frequent bucket would bring together what only shares a short line. Its starts are
+refined at once to the identifiers of their whole strings: those that a second sketch
+takes for single are dropped, and what is left of a segment, a fragment, travels as
+one row with these identifiers, to the bucket of all of them. Equal fragments are
+decided on as a whole, and one fragment of each kind goes on start by start, to the
+buckets of single strings, where fragments that differ may still share some.
 """
 
 from __future__ import annotations
@@ -33,7 +38,13 @@ from dosequant.llm.sketch import estimate
 SIZE, QGRAM = 200, 32
 #: Bytes of segments and of single starts that a batch holds before it sends them.
 HELD_BYTES = 4 << 20
-_ROUTED = "route bigint, row bigint, at int, n int, content binary"
+#: Starts that a fragment has at most; with no more than SIZE, equal first and last
+#: strings and numbers make fragments equal.
+LONGEST = 128
+#: Kinds of rows: a segment with its bytes, a run that is decided on, a fragment with
+#: the identifiers of its strings.
+_SEGMENT, _DECIDED, _FRAGMENT = range(3)
+_ROUTED = "route bigint, kind int, row bigint, at int, n int, content binary"
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_IDS = W.scatter(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -106,7 +117,8 @@ def whole_strings(
 class Segments:
     """Segments of the texts of one chunk: text, first start, number of starts, bucket.
 
-    `alone` has the starts that are in none: text, start, identifier of the string.
+    `fragments` has what is left of frequent segments: text, first start, number of
+    starts, identifier of the whole; and `strings` the identifiers of their strings.
     """
 
     def __init__(self, texts: list[bytes | None], size: int, qgram: int):
@@ -126,7 +138,7 @@ class Segments:
         self.first, self.n = self.at[first], np.diff(np.append(first, len(keys)))
         self.key, self.owner = keys[first], self.text[first]
         self.each = keys
-        self.alone = (self.owner[:0], self.first[:0], self.key[:0])
+        self.fragments, self.strings = (self.owner[:0], self.first[:0], self.n[:0], self.key[:0]), self.key[:0]
 
     def occurrences(self) -> np.ndarray:
         """Buckets, one entry for each place whose sequence is the least of a string.
@@ -139,13 +151,31 @@ class Segments:
         largest = ~W.smallest(~least[::-1], span)[::-1]
         return self.ids[(largest == self.ids) & (largest > 0)]
 
-    def choose(self, estimate) -> None:
-        """Keep repeated buckets; single out the starts of frequent ones."""
+    def frequent(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment, place and string of the starts of the segments that are `often`."""
+        starts = spread(self.first[often], self.n[often])
+        if not len(starts):
+            return starts, starts, self.key[:0]
+        strings = whole_strings(self.data, starts, self.size, self.ids, self.qgram)
+        return np.repeat(np.flatnonzero(often), self.n[often]), starts, strings
+
+    def choose(self, estimate, strings) -> None:
+        """Keep repeated buckets; take frequent ones apart into fragments of starts
+        whose strings are repeated."""
         some, often = estimate.repeated(self.key), estimate.frequent(self.key)
         if often.any():
-            starts = spread(self.first[often], self.n[often])
-            strings = whole_strings(self.data, starts, self.size, self.ids, self.qgram)
-            self.alone = (np.repeat(self.owner[often], self.n[often]), starts, strings)
+            segment, starts, ids = self.frequent(often)
+            twice = strings.repeated(ids)
+            segment, starts, self.strings = segment[twice], starts[twice], ids[twice]
+            new = np.ones(len(starts), bool)
+            new[1:] = (segment[1:] != segment[:-1]) | (starts[1:] != starts[:-1] + 1)
+            run_start = starts[np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))]
+            new |= (starts - run_start) % min(LONGEST, self.size) == 0
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(starts)))
+            whole = self.strings[first] * _RADIX + self.strings[first + n - 1]
+            whole = W.scatter(W.scatter(whole) + n.astype(np.uint64))
+            self.fragments = (self.owner[segment[first]], starts[first], n, whole)
             some &= ~often
         self.first, self.n, self.key, self.owner = self.first[some], self.n[some], self.key[some], self.owner[some]
 
@@ -158,30 +188,30 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _routed(route, row, at, n, data, sizes) -> pa.RecordBatch:
+def _routed(kind, route, row, at, n, data, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(route.view(np.int64)), pa.array(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)),
-         _binary(data, sizes)],
-        ["route", "row", "at", "n", "content"],
+        [pa.array(route.view(np.int64)), pa.array(np.full(len(route), kind, np.int32)), pa.array(row),
+         pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), _binary(data, sizes)],
+        ["route", "kind", "row", "at", "n", "content"],
     )
 
 
-def _candidates(size: int, qgram: int, get):
-    """Segments to be refined together; those without content are decided on, or with
-    n = 0 are single starts, equal to the others of their route."""
+def _candidates(size: int, qgram: int, get, get_strings):
+    """Segments and fragments to be refined together, and runs decided on already."""
 
     def decided(rows, first, count) -> pa.RecordBatch:
         apart = W.scatter(rows.view(np.uint64) + first.astype(np.uint64))
-        return _routed(apart, rows, first, count, apart[:0].view(np.uint8), np.zeros(len(rows), np.int64))
+        return _routed(_DECIDED, apart, rows, first, count, apart[:0].view(np.uint8), np.zeros(len(rows), np.int64))
 
-    def send_alone(parts) -> Iterator[pa.RecordBatch]:
-        row, at, string = (np.concatenate(x) for x in zip(*parts))
-        if not len(string):
+    def send_fragments(parts) -> Iterator[pa.RecordBatch]:
+        row, at, n, whole, strings = (np.concatenate(x) for x in zip(*parts))
+        if not len(whole):
             return
-        _, leading, which, many = np.unique(string, return_index=True, return_inverse=True, return_counts=True)
-        none = np.zeros(len(leading), np.int64)
-        yield _routed(string[leading], row[leading], at[leading], none, none[:0].view(np.uint8), none)
-        yield decided(*runs(many[which] > 1, row, at))
+        _, leading, which, many = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        content = strings[spread((np.cumsum(n) - n)[leading], n[leading])].view(np.uint8)
+        yield _routed(_FRAGMENT, whole[leading], row[leading], at[leading], n[leading], content, 8 * n[leading])
+        equal = many[which] > 1
+        yield decided(row[equal], at[equal], n[equal])
 
     def send(parts) -> Iterator[pa.RecordBatch]:
         key, row, at, n = (np.concatenate(x) for x in list(zip(*parts))[:4])
@@ -199,64 +229,92 @@ def _candidates(size: int, qgram: int, get):
         leading[order[new]] = True
         going = np.bincount(segment, leading, len(key)) > 0
         yield _routed(
-            key[going], row[going], at[going], n[going], data[np.repeat(going, sizes)], sizes[going]
+            _SEGMENT, key[going], row[going], at[going], n[going], data[np.repeat(going, sizes)], sizes[going]
         )
         yield decided(*runs(many > 1, row[segment], spread(at, n)))
 
     def run(batches):
-        parts, alone, held = [], [], 0
+        parts, fragments, held = [], [], 0
         for batch, texts in W.chunks(batches, "text"):
             rows = batch.column(batch.schema.get_field_index("row")).to_numpy()
             found = Segments(texts, size, qgram)
-            found.choose(get())
+            found.choose(get(), get_strings())
             at = found.first - found.text_at[found.owner]
             content = found.content()
             parts.append((found.key, rows[found.owner], at, found.n, content))
-            owner, start, string = found.alone
-            alone.append((rows[owner], start - found.text_at[owner], string))
-            held += len(content) + string.nbytes
+            owner, start, n, whole = found.fragments
+            fragments.append((rows[owner], start - found.text_at[owner], n, whole, found.strings))
+            held += len(content) + found.strings.nbytes
             if held >= HELD_BYTES:
                 yield from send(parts)
-                yield from send_alone(alone)
-                parts, alone, held = [], [], 0
+                yield from send_fragments(fragments)
+                parts, fragments, held = [], [], 0
         if parts:
             yield from send(parts)
-            yield from send_alone(alone)
+            yield from send_fragments(fragments)
 
     return run
 
 
+_RESOLVED = "row bigint, at int, n int, string bigint"
+
+
+def _resolved(rows, at, n, strings=None) -> pa.RecordBatch:
+    string = pa.nulls(len(rows), pa.int64()) if strings is None else pa.array(strings.view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), string], ["row", "at", "n", "string"]
+    )
+
+
+def _segments_of(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all entries, and the size of each."""
+    offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1]
+    data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, np.diff(offsets).astype(np.int64)
+
+
 def _resolve(size: int):
-    """Runs of equal strings, from segments sorted by route.
+    """Runs of equal strings, from segments sorted by route, and from fragments; of
+    each kind of fragment, one start of each string with the string.
 
     Of the last route of a batch one start of each string is kept for the next batch,
-    and of the single starts the last one, whose route is its string.
+    and the last fragment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         last_route, kept = None, (none, none, np.empty(0, np.uint8))  # row, at, bytes
-        last_alone = (none, none, none)  # route, at, row
+        last_fragment = (none, none, none, none)  # route, row, at, n
         for batch in batches:
-            route, row, at, n = (batch.column(i).to_numpy() for i in range(4))
+            route, kind, row, at, n = (batch.column(i).to_numpy() for i in range(5))
             at, n = at.astype(np.int64), n.astype(np.int64)
-            content = batch.column(4)
-            offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1]
-            data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            sizes = np.diff(offsets).astype(np.int64)
-            alone = n == 0
-            decided = (sizes == 0) & ~alone
-            string, place_alone, row_alone = (
-                np.concatenate(x) for x in zip(last_alone, (route[alone], at[alone], row[alone]))
-            )
-            last_alone = (string[-1:], place_alone[-1:], row_alone[-1:])
-            equal = string[1:] == string[:-1]
-            twice = np.zeros(len(string), bool)
+            data, sizes = _segments_of(batch.column(5))
+            kind_of_byte = np.repeat(kind, sizes)
+
+            whole = kind == _FRAGMENT
+            after = len(last_fragment[0])
+            routes, rows, places, counts = (np.concatenate(x) for x in zip(last_fragment, (route[whole], row[whole], at[whole], n[whole])))
+            equal = routes[1:] == routes[:-1]
+            twice, first = np.zeros(len(routes), bool), np.ones(len(routes), bool)
             twice[1:] |= equal
             twice[:-1] |= equal
+            first[1:] = ~equal
+            yield _resolved(rows[twice], places[twice], counts[twice])
+            last_fragment = (routes[-1:], rows[-1:], places[-1:], counts[-1:])
+            first = np.flatnonzero(first[after:])  # those seen for the first time here
+            strings = np.frombuffer(data[kind_of_byte == _FRAGMENT].tobytes(), np.uint64)
+            many = n[whole]
+            strings = strings[spread((np.cumsum(many) - many)[first], many[first])]
+            owner, place = np.repeat(row[whole][first], many[first]), spread(at[whole][first], many[first])
+            _, leading, which, times = np.unique(strings, return_index=True, return_inverse=True, return_counts=True)
+            yield _resolved(owner[leading], place[leading], np.ones(len(leading), np.int64), strings[leading])
+            yield _resolved(*runs(times[which] > 1, owner, place))
+
             if len(route) and route[0] != last_route:
                 kept = (none, none, np.empty(0, np.uint8))
-            some = sizes > 0
+            some = kind == _SEGMENT
+            sizes = np.where(some, sizes, 0)
+            data = data[kind_of_byte == _SEGMENT]
             n_kept = len(kept[0])
             offset = np.concatenate((np.arange(n_kept) * size, len(kept[2]) + (np.cumsum(sizes) - sizes)[some]))
             counts = np.concatenate((np.ones(n_kept, np.int64), n[some]))
@@ -267,13 +325,9 @@ def _resolve(size: int):
             starts, segment = spread(offset, counts), np.repeat(np.arange(len(counts)), counts)
             place = spread(firsts, counts)
             final, many = equal_strings(routes.view(np.uint64)[segment], data, starts, size)
-            rows, first, count = runs(many > 1, owners[segment], place)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((rows, row[decided], row_alone[twice]))),
-                 pa.array(np.concatenate((first, at[decided], place_alone[twice])).astype(np.int32)),
-                 pa.array(np.concatenate((count, n[decided], np.ones(twice.sum(), np.int64))).astype(np.int32))],
-                ["row", "at", "n"],
-            )
+            yield _resolved(*runs(many > 1, owners[segment], place))
+            decided = kind == _DECIDED
+            yield _resolved(row[decided], at[decided], n[decided])
             if len(route):
                 last_route = route[-1]
                 ours = np.flatnonzero(routes[segment] == last_route)
@@ -287,6 +341,27 @@ def _resolve(size: int):
     return run
 
 
+def _same_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs decided on, and starts whose string another one has, from rows sorted by
+    string. The last start of a batch is kept for the next one."""
+    last = tuple(np.empty(0, np.int64) for _ in range(3))  # string, row, at
+    for batch in batches:
+        row, at, n = (batch.column(i).to_numpy() for i in range(3))
+        alone = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        string = batch.column(3).drop_null().to_numpy()
+        strings, rows, places = (np.concatenate(x) for x in zip(last, (string, row[alone], at[alone])))
+        equal = strings[1:] == strings[:-1]
+        twice = np.zeros(len(strings), bool)
+        twice[1:] |= equal
+        twice[:-1] |= equal
+        last = (strings[-1:], rows[-1:], places[-1:])
+        ones = np.ones(int(twice.sum()), np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(x)) for x in ((row[~alone], rows[twice]), (at[~alone], places[twice].astype(np.int32)), (n[~alone], ones))],
+            ["row", "at", "n"],
+        )
+
+
 def equal_byte_runs(df: DataFrame, size: int = SIZE, qgram: int = QGRAM) -> DataFrame:
     """Runs (`row`, `at`, `n`) of starts whose `size` bytes also start elsewhere.
 
@@ -298,12 +373,27 @@ def equal_byte_runs(df: DataFrame, size: int = SIZE, qgram: int = QGRAM) -> Data
             yield Segments(texts, size, qgram).occurrences()
 
     get = estimate(df.select("text"), keys)
-    return (
+
+    def strings(batches):
+        for _, texts in W.chunks(batches, "text"):
+            found = Segments(texts, size, qgram)
+            yield found.frequent(get().frequent(found.key))[2]
+
+    get_strings = estimate(df.select("text"), strings)
+    found = (
         df.select("row", "text")
-        .mapInArrow(_candidates(size, qgram, get), _ROUTED)
+        .mapInArrow(_candidates(size, qgram, get, get_strings), _ROUTED)
         .repartition("route")
         .sortWithinPartitions("route")
-        .mapInArrow(_resolve(size), "row bigint, at int, n int")
+        .mapInArrow(_resolve(size), _RESOLVED)
+    )
+    to = F.coalesce("string", F.xxhash64("row", "at"))
+    return (
+        found.withColumn("to", to)
+        .repartition("to")
+        .sortWithinPartitions("to", "string")
+        .select("row", "at", "n", "string")
+        .mapInArrow(_same_strings, "row bigint, at int, n int")
     )
 
 

@@ -176,16 +176,45 @@ def test_a_frequent_line_too_short_to_go_meets_in_no_single_route(spark, documen
             yield suffix_dedup.Segments(texts, 200, 32).occurrences()
 
     get = sketch.estimate(df.select("text"), keys)
-    sent = df.mapInArrow(suffix_dedup._candidates(200, 32, get), suffix_dedup._ROUTED).collect()
+
+    def strings(batches):
+        for _, texts in suffix_dedup.W.chunks(batches, "text"):
+            found = suffix_dedup.Segments(texts, 200, 32)
+            yield found.frequent(get().frequent(found.key))[2]
+
+    get_strings = sketch.estimate(df.select("text"), strings, cell_bits=23)
+    sent = df.mapInArrow(suffix_dedup._candidates(200, 32, get, get_strings), suffix_dedup._ROUTED).collect()
     starts = collections.Counter()
     for r in sent:
-        starts[r.route] += r.n if len(r.content) else 1
+        starts[r.route] += r.n if r.kind == suffix_dedup._SEGMENT else 1
     assert max(starts.values()) < sketch.OFTEN * (200 - 32 + 1)
+    fragments = [r for r in sent if r.kind == suffix_dedup._FRAGMENT]
+    assert 0 < len(fragments) < len({r.row for r in sent}) and sum(r.n for r in fragments) > 3 * len(fragments)
     found = suffix_dedup.remove_repeated_bytes(documents(*rows).repartition(3, "doc_id")).collect()
     got = sorted((str(r.doc_id), sum(x["to"] - x["from"] for x in r.removed), bytes(r.kept_bytes)) for r in found)
     assert got == [(r[0], r[2], r[4]) for r in slow_bytes(rows)]
 
 
+@pytest.mark.parametrize("held", [suffix_dedup.HELD_BYTES, 1 << 12])
+def test_fragments_that_share_a_part(spark, documents, monkeypatch, held):
+    """Parts of one passage, of any length, in many documents and within one: all are
+    frequent, and what differs as a whole still meets string by string."""
+    monkeypatch.setattr(sketch, "OFTEN", 3)
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", held)
+    monkeypatch.setattr(suffix_dedup, "LONGEST", 16)
+    rng = random.Random(6)
+    passage = prose(4, 400)[:1500]
+    rows = []
+    for i in range(60):
+        a, b = sorted(rng.sample(range(len(passage)), 2))
+        rows.append((i, f"{prose(700 + i, 20, 9000)} {passage[a:b]} {prose(800 + i, 9, 9000)}" + passage[a : a + 260] * (i % 3)))
+    rows += [(70, "ab" * 400), (71, "abc" * 300), (72, "ab" * 400 + "c"), (73, passage), (74, passage), (74, passage)]
+    df = documents(*rows).repartition(5, "doc_id")
+    found = suffix_dedup.remove_repeated_bytes(df).collect()
+    got = sorted((str(r.doc_id), sum(x["to"] - x["from"] for x in r.removed), bytes(r.kept_bytes)) for r in found)
+    assert got == [(r[0], r[2], r[4]) for r in slow_bytes(rows)]
+
+
 def test_cut_characters_go_as_a_whole(spark, documents):
     shared = "é" * 100
     found = suffix_dedup.remove_repeated_bytes(documents((1, "xà" + shared), (2, "yé" + shared + "z")), as_text=True)
