@@ -3,8 +3,8 @@
 Rules name a host and the beginning of a path. Hosts whose pages the rules allow are
 seeds of trust, which follows links; hosts whose pages they block are seeds of
 distrust, which follows links backwards, to those that link there. Both spread by
-personalised PageRank, one join per round. Pages without a rule get the verdict of
-their host. Only built-in functions are used.
+personalised PageRank, one join per round, until nothing changes any more. Pages
+without a rule get the verdict of their host. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -13,16 +13,23 @@ import string
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dosequant.llm.storage import written
+from dosequant.operators.links import ANCHOR, COMMENT, HREF, NO_TEXT, NOT_CONTENT, decoded
 from dosequant.operators.skew import join_apart
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 12, 1e-4
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Rounds between two looks at what has changed, each of which writes the ranks.
+ROUNDS_AT_ONCE = 4
+#: What has not settled by then never will: the sum of all changes shrinks by the
+#: damping each round, to less than the tolerance for any number of hosts.
+MOST_ROUNDS = 400
 #: A host is blocked from this share of a wholly blocked host's own distrust on.
 BLOCK_FROM = 0.5
 
-_LINK = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: The host in an address that has one: after an optional scheme and two slashes.
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]+)"
 
 
 class Rule(NamedTuple):
@@ -61,6 +68,22 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(longest.alias("rules"))
 
 
+def _table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    rows = [F.struct(*[F.lit(x).alias(n) for n, x in (*r._asdict().items(), ("rule", r.host + r.path))]) for r in rules]
+    none = "array<struct<verdict:string,host:string,path:string,rule:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(none)))
+
+
+def linked_hosts(html: Column) -> Column:
+    """The hosts that the links of a page name, as a parser finds them: not in comments,
+    scripts or styles, and only in the attribute href of a link."""
+    content = F.regexp_replace(F.regexp_replace(html, COMMENT, NO_TEXT), NOT_CONTENT, "")
+    attributes = F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(1))
+    href = lambda a: decoded(F.concat(*[F.regexp_extract(a, HREF, i) for i in (1, 2, 3)]))
+    hosts = F.transform(attributes, lambda a: _lower(F.regexp_extract(href(a), _HOST, 1)))
+    return F.filter(hosts, lambda h: h != "")
+
+
 def host_links(pages: DataFrame, page: str = "html") -> DataFrame:
     """(source, target, n) of links from a page of one host to another host.
 
@@ -68,8 +91,7 @@ def host_links(pages: DataFrame, page: str = "html") -> DataFrame:
     if both have pages: www.a.org and a.org are one site.
     """
     in_pages = (
-        pages.select("host", F.explode(F.regexp_extract_all(F.col(f"`{page}`"), F.lit(_LINK), 1)).alias("target"))
-        .select(F.col("host").alias("source"), _lower(F.col("target")).alias("target"))
+        pages.select(F.col("host").alias("source"), F.explode(linked_hosts(F.col(f"`{page}`"))).alias("target"))
         .where("source <> '' AND source <> target")
         .groupBy("source", "target")
         .agg(F.count("*").alias("n"))
@@ -83,13 +105,14 @@ def host_links(pages: DataFrame, page: str = "html") -> DataFrame:
     return in_pages.unionByName(both).groupBy("source", "target").agg(F.sum("n").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of every host reached from the seeds.
 
     `seeds` has `host` and the shares `trust` and `distrust`. A share of 1 - damping
     of each rank comes from the host's own seed, the rest over links, each host
     passing on its rank in proportion to their number. Rank of hosts that pass
-    nothing on is lost.
+    nothing on is lost. Ends when no rank changes by `tolerance` in ROUNDS_AT_ONCE
+    rounds, and fails if that takes more than MOST_ROUNDS.
     """
     way = lambda kind, a, b: links.select(
         F.lit(kind).alias("kind"), F.col(a).alias("from"), F.col(b).alias("to"), "n"
@@ -104,24 +127,25 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     stacked = F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, seed)")
     own = seeds.select(F.col("host").alias("from"), stacked).where("seed > 0")
     own = written(own.select(key, (F.col("seed") * (1 - damping)).alias("own")), "host-seeds")
+
+    def passed_on(ranks: DataFrame) -> DataFrame:
+        passed = join_apart(edges, ranks, "key", "rank").select(F.col("next").alias("key"), (F.col("share") * F.col("rank") * damping).alias("part"))
+        parts = passed.unionByName(own.select("key", F.col("own").alias("part")))
+        return parts.groupBy("key").agg(F.round(F.sum("part"), 12).alias("rank"))
+
     ranks = own.withColumnRenamed("own", "rank")
-    for _ in range(rounds):
-        passed = (
-            join_apart(edges, ranks, "key", "rank")
-            .groupBy(F.col("next").alias("key"))
-            .agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("passed"))
-        )
-        both = own.join(passed, "key", "full")
-        rank = F.coalesce("own", F.lit(0.0)) + F.coalesce("passed", F.lit(0.0))
-        after = written(both.select("key", F.round(rank, 9).alias("rank")), "host-ranks")
-        change = (
-            after.withColumnRenamed("rank", "new").join(ranks, "key", "full")
-            .agg(F.max(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))))
-            .first()[0]
-        )
-        ranks = after
-        if not change or change < TOLERANCE:
+    for _ in range(0, MOST_ROUNDS, ROUNDS_AT_ONCE):
+        after = ranks
+        for _ in range(ROUNDS_AT_ONCE):
+            after = passed_on(after)
+        both = after.withColumn("old", F.lit(0.0)).unionByName(ranks.select("key", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        ranks = written(both.groupBy("key").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")), "host-ranks")
+        change = ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = ranks.drop("old")
+        if not change or change < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still change by {change} after {MOST_ROUNDS} rounds")
     of = lambda kind: F.sum(F.when(F.col("key.kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy(F.col("key.from").alias("host")).agg(of("trust"), of("distrust"))
 
@@ -134,8 +158,11 @@ def judge_urls(
     that fits, or null), `verdict`, and the host's `trust` and `distrust`.
 
     Without a rule a page is blocked if its host has at least `block_from` of the
-    distrust of a host with blocked pages only, and more distrust than trust. Pages
-    without a host are allowed then. Null pages link nowhere; repeated rows count.
+    distrust that blocked pages give a host of nothing else, rank that comes back over
+    links not counted in, and more distrust than trust; with as much of both it is
+    allowed. Pages without a host are allowed then. Null and empty pages link nowhere;
+    repeated rows count as often and are returned as often. Other columns of `pages`
+    are not returned. Without rules nothing is blocked.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col(f"`{url}`"))
@@ -143,11 +170,7 @@ def judge_urls(
         F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"),
         F.col(f"`{page}`").alias("html"),
     )
-    table = spark.createDataFrame(
-        [(r.verdict, r.host, r.path, r.host + r.path) for r in rules],
-        "verdict string, host string, path string, rule string",
-    )
-    fitting = rules_by_host(pages.select("host").distinct(), table)
+    fitting = rules_by_host(pages.select("host").distinct(), _table(spark, rules))
     judged = join_apart(pages.select("page_id", "host", "path"), fitting, "host", "fitting", "left")
     judged = judged.withColumn(
         "found", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
