@@ -5,6 +5,10 @@ An element's sum is that of its children's densities; the element with the great
 sum holds the article. The least density on its path to the body is the threshold
 that any element off that path must reach to belong to it. An <article> or <main> on
 the path or below it is taken instead, with its like siblings.
+
+Elements that are no article text by kind, role or name are left out first, whatever
+they hold, unless they lie around the article. Names that may go either way are
+decided by the threshold that the rest of the page gives.
 """
 
 from __future__ import annotations
@@ -43,14 +47,26 @@ DROPPED = frozenset(
     "iframe svg canvas object audio video dialog menu title noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words that a class or id ends with, but for words of place and form. The first ones
+#: name what is never article text. The others may name a part of the article as well,
+#: which then is told by its density.
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus "
-    "cookie cookies consent notice notices newsletter subscribe subscription share sharing social "
-    "related recommended widget popup modal overlay toolbar pagination pager login signup".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer masthead comment comments disqus cookie cookies "
+    "consent notice notices newsletter pagination pager login signup".split()
+)
+DOUBTFUL_WORDS = frozenset(
+    "promo promotion banner header share sharing social related recommended subscribe subscription "
+    "widget popup modal overlay toolbar".split()
+)
+FORM_WORDS = frozenset(
+    "left right top bottom inner outer wrapper wrap container content box block area section list item "
+    "items group bar panel body thread form link links button buttons icons".split()
 )
+#: With one of these in front a name says what is not there, or what is around it.
+OTHER_WORDS = frozenset("no has with without is hide show".split())
 HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
-NEVER_BY_WORD = frozenset(("html", "body", "main", "article"))
+NEVER_BY_WORD = frozenset(("html", "body", "main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|"
@@ -62,21 +78,33 @@ _WORD = re.compile(r"[a-zA-Z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "like")
+    __slots__ = ("tag", "parent", "parts", "dropped", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total", "like")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, like: str = ""):
         self.tag, self.parent, self.dropped, self.like = tag, parent, dropped, like
+        self.doubtful = False
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Dropped for sure, dropped by a word of class or id, and the class."""
+def _named(marks: str, words: frozenset[str]) -> bool:
+    """Whether one of the names, class or id, ends with one of the words."""
+    for name in marks.split():
+        parts = _WORD.findall(name)
+        while len(parts) > 1 and (parts[-1] in FORM_WORDS or parts[-1].isdigit()):
+            parts.pop()
+        if parts and parts[-1] in words and parts[0] not in OTHER_WORDS:
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, bool, str]:
+    """Dropped for sure, dropped by a name, doubtful by a name, and the class."""
     if tag in DROPPED:
-        return True, False, ""
+        return True, False, False, ""
     if not attributes.strip(" /\n\t\r"):
-        return False, False, ""
+        return False, False, False, ""
     got = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     style = got.get("style", "").replace(" ", "").lower()
     sure = (
@@ -87,8 +115,9 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, str]:
         or got.get("role", "").lower() in DROPPED_ROLES
     )
     marks = f"{got.get('class', '')} {got.get('id', '')}".lower()
-    words = _WORD.findall(marks)
-    return sure, tag not in NEVER_BY_WORD and not DROPPED_WORDS.isdisjoint(words), got.get("class", "")
+    if tag in NEVER_BY_WORD or not marks.strip():
+        return sure, False, False, got.get("class", "")
+    return sure, _named(marks, DROPPED_WORDS), _named(marks, DOUBTFUL_WORDS), got.get("class", "")
 
 
 def parse(page: str) -> Node:
@@ -132,10 +161,11 @@ def parse(page: str) -> Node:
             close(("p",), P_BORDER)
         if tag in CLOSES:
             close(*CLOSES[tag])
-        sure, by_word, like = _unwanted(tag, m[4])
+        sure, by_name, doubtful, like = _unwanted(tag, m[4])
         node = Node(tag, stack[-1], sure, like)
         stack[-1].parts.append(node)
-        if by_word and not sure:
+        if (by_name or doubtful) and not sure:
+            node.dropped, node.doubtful = by_name, doubtful and not by_name
             marked.append(node)
         if tag in VOID or m[4].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -144,20 +174,30 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
             continue
         stack.append(node)
-    if marked:
-        _measure(root)
-        holding: set[Node] = set()
-        for node in _order(root):
-            if node.tag in ("article", "main"):
-                up: Node | None = node
-                while up is not None and up not in holding:
-                    holding.add(up)
-                    up = up.parent
-        for node in marked:  # a word in a class drops neither an article nor all text
-            node.dropped = node not in holding and 10 * node.chars < 9 * root.chars
+    for node in reversed(marked):  # those within others first
+        if _is_wrapper(node):
+            node.dropped = node.doubtful = False
     return root
 
 
+def _is_wrapper(node: Node) -> bool:
+    """Whether an element lies around an article, whatever its name says: it holds an
+    <article> or <main>, or the page's first headline and paragraphs."""
+    if node.tag == "article":
+        return False
+    headline = paragraph = False
+    todo = [x for x in node.parts if isinstance(x, Node)]
+    while todo:
+        x = todo.pop()
+        if x.dropped:
+            continue
+        if x.tag in ("article", "main"):
+            return True
+        headline, paragraph = headline or x.tag == "h1", paragraph or x.tag == "p"
+        todo.extend(y for y in x.parts if isinstance(y, Node))
+    return headline and paragraph
+
+
 def _order(root: Node) -> list[Node]:
     """All kept elements, parents before children."""
     out, todo = [], [root]
@@ -178,7 +218,7 @@ def _measure(root: Node) -> list[Node]:
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         up = node.parent
-        if up is not None and node is not root:
+        if node is not root:
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
@@ -189,6 +229,7 @@ def _measure(root: Node) -> list[Node]:
 def _densities(body: Node, nodes: list[Node]) -> None:
     link_share = body.link_chars / max(body.chars, 1)
     for node in nodes:
+        node.density = 0.0
         c, lc, t, lt = node.chars, node.link_chars, max(node.tags, 1), max(node.link_tags, 1)
         if c:
             base = math.log(c / max(c - lc, 1) * lc + link_share * c + math.e)
@@ -236,19 +277,42 @@ def _order_in_page(root: Node) -> list[Node]:
     return out
 
 
+def _best(body: Node) -> tuple[Node | None, float]:
+    """The element with the greatest sum of densities, the first of equal ones, and
+    the least density on its path to the body; none if the body has no text."""
+    nodes = _measure(body)
+    if not body.chars:
+        return None, 0.0
+    _densities(body, nodes)
+    best = max(nodes, key=lambda n: n.total)
+    threshold, up = best.density, best
+    while up is not body:
+        up = up.parent
+        threshold = min(threshold, up.density)
+    return best, threshold
+
+
 def content_nodes(root: Node) -> list[Node]:
     """The elements that hold the article, in page order."""
     body = next((n for n in _order(root) if n.tag == "body"), root)
-    _measure(root)
-    nodes = _order(body)
-    if not body.chars:
+    doubtful = [n for n in _order(body) if n.doubtful]
+    if doubtful:
+        # what is beyond doubt gives the threshold that the others have to reach
+        for node in doubtful:
+            node.dropped = True
+        beyond, threshold = _best(body)
+        for node in doubtful:
+            node.dropped = False
+        _, threshold_of_all = _best(body)
+        threshold = threshold_of_all if beyond is None else threshold
+        for node in doubtful:
+            node.dropped = node.density < threshold
+    best, threshold = _best(body)
+    if best is None:
         return []
-    _densities(body, nodes)
-    best = max(nodes, key=lambda n: n.total)  # the first of equal ones
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
     holder = next((n for n in reversed(path) if n.tag == "article"), None)
     holder = holder or next((n for n in path if n.tag == "main"), None)
     if holder is None:
