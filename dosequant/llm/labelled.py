@@ -19,8 +19,9 @@ def training_rows(
     """(doc_id, text, label) of labelled documents outside the held-out third.
 
     A document with several labels counts with the greatest; rows without an id or
-    label are left out. The chosen ids are at most `max_rows`, so they are broadcast
-    and texts are not shuffled.
+    label are left out, and of several documents with one id the text that sorts first
+    is learned from. So there are at most `max_rows` rows. The chosen ids are
+    broadcast, and only their texts are shuffled.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -31,4 +32,5 @@ def training_rows(
         .limit(max_rows)
     )
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -22,6 +22,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from dosequant.llm.columns import packed, unpacked
+
 #: Letters of other scripts that look like Latin ones, and digits and
 #: signs written for letters.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁԛԝһαβεικνορτυχ", "abekmhopctyxijsdqwhabeikvoptux", strict=True))
@@ -30,7 +32,8 @@ SUBSTITUTES = dict(zip("013457", "oieast", strict=True))
 #: An entry must occur in this share of the toxic training documents, and in so many,
 #: and be so many times likelier there (as a logarithm).
 MIN_SHARE, MIN_DOCUMENTS, MIN_WEIGHT = 0.01, 3, 2.5
-MAX_ENTRIES, MAX_EXCEPTIONS, MIN_PREFIX, MAX_PREFIX = 2_000, 2_000, 4, 10
+#: Letters of the beginnings of words that may become entries.
+MIN_PREFIX, MAX_PREFIX = 4, 10
 
 
 class _Folding(dict):
@@ -103,8 +106,7 @@ def weigh(automaton, folded: str) -> tuple[float, int, list[int]]:
 def _terms(folded: str) -> set[str]:
     found = set()
     for word in set(folded.split()):
-        if len(word) <= 30:
-            found.add(f" {word} ")
+        found.add(f" {word} ")
         found.update(f" {word[:k]}" for k in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1))
     return found
 
@@ -156,14 +158,11 @@ def _scorer(lexicon: Lexicon, text: str, names: list[str]):
     return run
 
 
-def weighed(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """`df` without its texts, with `weight`, `n_hits` and `n_words` of each."""
-    kept = [f for f in df.schema.fields if f.name not in (text, "weight", "n_hits", "n_words")]
-    schema = T.StructType(
-        kept + [T.StructField("weight", T.DoubleType()), T.StructField("n_hits", T.LongType()), T.StructField("n_words", T.LongType())]
-    )
-    names = [f.name for f in kept]
-    return df.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(_scorer(lexicon, text, names), schema)
+def weighed(df: DataFrame, lexicon: Lexicon, carried: str) -> DataFrame:
+    """`carried` of `df`, with `weight`, `n_hits` and `n_words` of each `text`."""
+    names = ("weight", T.DoubleType()), ("n_hits", T.LongType()), ("n_words", T.LongType())
+    schema = T.StructType([df.schema[carried], *[T.StructField(n, t) for n, t in names]])
+    return df.select(carried, "text").mapInArrow(_scorer(lexicon, "text", [carried]), schema)
 
 
 def _strengths():
@@ -171,11 +170,17 @@ def _strengths():
     return F.log1p("weight").alias("x0"), F.log1p(per_length).alias("x1")
 
 
-def fit(training: DataFrame) -> Lexicon:
+def fit(
+    training: DataFrame, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS, min_weight: float = MIN_WEIGHT
+) -> Lexicon:
     """Learn entries, exceptions and the probability from (text, label) rows.
 
-    `training` is a bounded sample, see `labelled.training_rows`; equal texts count
-    once. Without toxic or without clean rows the lexicon is empty.
+    An entry occurs in `min_share` of the toxic rows and in `min_documents` of them,
+    and is likelier there by `min_weight` (a logarithm); an exception occurs as often
+    in clean rows, and in no toxic one. There is no further limit on either: their
+    number is bounded by that of the rows, since `training` is a bounded sample, see
+    `labelled.training_rows`. Equal texts count once, null ones are empty. Without
+    toxic or without clean rows the lexicon is empty.
     """
     rows = training.groupBy("text").agg(F.max("label").alias("label")).persist()
     try:
@@ -183,7 +188,7 @@ def fit(training: DataFrame) -> Lexicon:
         n_toxic, n_clean = counts.get(1.0, 0), counts.get(0.0, 0)
         if not n_toxic or not n_clean:
             return Lexicon((), intercept=3.0 if n_toxic else -3.0)
-        least = max(MIN_DOCUMENTS, math.ceil(MIN_SHARE * n_toxic))
+        least = max(min_documents, math.ceil(min_share * n_toxic))
         weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
         terms = (
             rows.mapInArrow(_count_terms, "term string, toxic long, clean long")
@@ -191,13 +196,11 @@ def fit(training: DataFrame) -> Lexicon:
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where(F.col("toxic") >= least)
             .withColumn("weight", weight)
-            .where(F.col("weight") >= MIN_WEIGHT)
-            .orderBy(F.desc("toxic"), F.desc("weight"), "term")
-            .limit(MAX_ENTRIES)
+            .where(F.col("weight") >= min_weight)
         )
         entries = tuple(_without_longer([(r["term"], r["weight"]) for r in terms.collect()]))
-        lexicon = Lexicon(entries, _exceptions(rows, entries))
-        scored = weighed(rows, lexicon).select("label", *_strengths())
+        lexicon = Lexicon(entries, _exceptions(rows, entries, min_documents))
+        scored = weighed(rows, lexicon, "label").select("label", *_strengths())
         scored = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(scored)
         model = LogisticRegression(regParam=1e-4, maxIter=100).fit(scored.select("label", "features"))
         slopes = tuple(float(x) for x in model.coefficients.toArray())
@@ -206,7 +209,7 @@ def fit(training: DataFrame) -> Lexicon:
         rows.unpersist()
 
 
-def _exceptions(rows: DataFrame, entries: tuple[tuple[str, float], ...]) -> tuple[str, ...]:
+def _exceptions(rows: DataFrame, entries: tuple[tuple[str, float], ...], min_documents: int) -> tuple[str, ...]:
     """Phrases of a lexicon word and a neighbour that only clean documents have."""
     lexicon = Lexicon(entries)
 
@@ -228,21 +231,20 @@ def _exceptions(rows: DataFrame, entries: tuple[tuple[str, float], ...]) -> tupl
         rows.mapInArrow(phrases, "phrase string, label double")
         .groupBy("phrase")
         .agg(F.count("*").alias("n"), F.max("label").alias("label"))
-        .where((F.col("n") >= MIN_DOCUMENTS) & (F.col("label") == 0))
-        .orderBy(F.desc("n"), "phrase")
-        .limit(MAX_EXCEPTIONS)
+        .where((F.col("n") >= min_documents) & (F.col("label") == 0))
     )
     return tuple(sorted(r["phrase"] for r in found.collect()))
 
 
 def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", least: float = 0.7) -> DataFrame:
     """One row for each of `df`, without the text: `score` (0 to 1), `predicted` (1
-    from `least` on), `n_hits`, `n_words`. Null and empty texts score as no match."""
+    from `least` on), `n_hits`, `n_words`.
+
+    Null and empty texts score as no match. Other columns go along, but for those
+    named like one of the four, which give way; repeated rows are scored each.
+    """
     x0, x1 = _strengths()
     linear = F.lit(lexicon.intercept) + lexicon.slopes[0] * x0 + lexicon.slopes[1] * x1
-    scored = weighed(df.drop("score", "predicted"), lexicon, text)
-    return (
-        scored.withColumn("score", 1 / (1 + F.exp(-linear)))
-        .withColumn("predicted", (F.col("score") >= least).cast("int"))
-        .drop("weight")
-    )
+    scored = weighed(packed(df, text), lexicon, "_input").withColumn("score", 1 / (1 + F.exp(-linear)))
+    scored = scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return unpacked(scored, [c for c in df.columns if c != text], "score", "predicted", "n_hits", "n_words")

@@ -107,14 +107,52 @@ def test_classifiers_on_held_out_rows(spark, documents, clashing):
     assert found.where("predicted <> quality").count() == 0
     lexicon = toxicity.fit(labelled.training_rows(docs, labels, "toxic"))
     assert " vile" in dict(lexicon.entries)
-    found = toxicity.score_toxicity(clashing(docs), lexicon).join(labels, "doc_id").where(held_out)
+    scored = toxicity.score_toxicity(clashing(docs), lexicon)
+    own = ("score", "predicted", "n_hits", "n_words")
+    assert set(scored.columns) == {*clashing(docs).columns, *own} - {"text"}
+    assert scored.select("weight", "row", "_text").distinct().collect() == [("x", "x", "x")]
+    found = scored.join(labels, "doc_id").where(held_out)
     assert found.where("predicted <> toxic").count() == 0
+    repeated = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 20").withColumn("text", F.lit("zzz")))
+    assert labelled.training_rows(repeated, labels, "quality").count() == training.count()
     for scored in (rule_ensemble.score_quality(documents(*ODD), model), toxicity.score_toxicity(documents(*ODD), lexicon)):
         rows = scored.collect()
         assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
         assert scored.where("false").collect() == []
 
 
+def plain_score(lexicon, text):
+    """Each word looked up, and exceptions searched, one by one."""
+    folded = " ".join(["", *toxicity.fold(text).split(), ""]) if text else ""
+    gone = {i + k for e in lexicon.exceptions for i in range(len(folded)) if folded.startswith(e, i) for k in range(len(e) - 1)}
+    total = 0.0
+    for i, c in enumerate(folded[:-1]):
+        if c == " " and i not in gone:
+            total += max((w for e, w in lexicon.entries if folded.startswith(e, i)), default=0.0)
+    x0, x1 = math.log1p(total), math.log1p(total * 1000 / (len(text.split() if text else []) + 50))
+    return 1 / (1 + math.exp(-(lexicon.intercept + lexicon.slopes[0] * x0 + lexicon.slopes[1] * x1)))
+
+
+def test_toxicity_word_by_word(spark, documents):
+    rng = random.Random(5)
+    entries = tuple({f" {''.join(rng.choices('abc', k=rng.randrange(1, 6)))}{rng.choice(('', ' '))}": rng.random() * 3 + 0.1 for _ in range(60)}.items())
+    exceptions = tuple(f" {''.join(rng.choices('abc', k=2))} {''.join(rng.choices('abc', k=2))} " for _ in range(15))
+    lexicon = toxicity.Lexicon(entries, exceptions, -2.0, (0.7, 0.3))
+    rows = ODD + [(100 + i, " ".join("".join(rng.choices("abcАd4", k=rng.randrange(1, 7))) for _ in range(rng.randrange(60)))) for i in range(200)]
+    found = toxicity.score_toxicity(documents(*rows).withColumn("n", F.monotonically_increasing_id()), lexicon).collect()
+    for r, (_, text) in zip(sorted(found, key=lambda r: r.n), rows):
+        assert r.score == pytest.approx(plain_score(lexicon, text)) and r.predicted == (r.score >= 0.7)
+
+
+def test_no_limit_on_entries_and_their_length(spark):
+    words_ = ["x" * 40 + "".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(2500)]
+    rows = [(" ".join(words_), 1.0)] + [(" ".join([*words_, "end", f"{i}"]), 1.0) for i in range(3)] + [(f"good text {i} fine", 0.0) for i in range(20)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, label double"))
+    assert len(lexicon.entries) >= 1
+    found = toxicity.score_toxicity(spark.createDataFrame([(w,) for w in words_[::100]], "text string"), lexicon)
+    assert found.where("n_hits = 0").count() == 0
+
+
 def test_learning_from_nothing_or_one_class(spark, documents):
     docs, labels = labelled_corpus(documents, spark, 30)
     none = labels.where("false")
