@@ -60,7 +60,7 @@ def bits_of(members: DataFrame, hashes: Callable, columns: list[str], count: int
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
     )
     sent = members.sparkSession.sparkContext.broadcast(
-        {r["part"]: zlib.compress(bytes(r["bits"]), 1) for r in parts.toLocalIterator()}
+        {r["part"]: zlib.compress(bytes(r["bits"]), 1) for r in parts.collect()}
     )
     built: list[Bits] = []
 

@@ -243,7 +243,7 @@ def _heads(keys: DataFrame, starts: list[tuple[int, int]]) -> dict[int, tuple[in
             )
 
     found = keys.mapInArrow(least, "of long, place long, hash long").groupBy("of").agg(F.min(F.struct("place", "hash")).alias("key"))
-    return {r["of"]: (r["key"]["place"], r["key"]["hash"]) for r in found.toLocalIterator()}
+    return {r["of"]: (r["key"]["place"], r["key"]["hash"]) for r in found.collect()}
 
 
 def _dealt(starts: list[tuple[int, int]], heads: dict[int, tuple[int, int]]):

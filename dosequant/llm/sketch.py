@@ -136,7 +136,7 @@ def estimate(
         .sortWithinPartitions("shard")
         .mapInArrow(_merged(often), "shard int, twice binary, often binary")
     )
-    sent = spark.sparkContext.broadcast({shard: (bytes(a), bytes(b)) for shard, a, b in merged.toLocalIterator()})
+    sent = spark.sparkContext.broadcast({shard: (bytes(a), bytes(b)) for shard, a, b in merged.collect()})
     built: list[Estimate] = []
 
     def get() -> Estimate:

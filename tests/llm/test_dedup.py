@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from dosequant.llm import components, simhash, sketch, suffix_dedup, window_dedup, winnowing
+from dosequant.operators import skew
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -282,4 +283,30 @@ def test_shared_passages(spark, documents, clashing):
     assert winnowing.shared_passages(documents((1, "a")).where("false"), benchmark).collect() == []
     nothing = winnowing.shared_passages(documents((1, "a b")), benchmark.where("false")).first()
     assert (nothing.n_words, nothing.n_hit, nothing["items"]) == (2, 0, [])
-    assert hashlib.sha256(b"").hexdigest()
+
+
+def test_fingerprints_are_fewer_than_windows_and_lose_none(spark, documents, monkeypatch):
+    """Random texts over few words: all windows that two share, from fewer rows."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abc", k=rng.randrange(80)))) for i in range(60)]
+    items = [(100 + i, " ".join(rng.choices("abc", k=rng.randrange(1, 40)))) for i in range(25)]
+    items += [(200 + i, rng.choice("abcd")) for i in range(30)]  # one-word items, many alike
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    sent = []
+    extended = winnowing._extended
+    monkeypatch.setattr(winnowing, "join_apart", lambda left, right, key, step: sent.append((left.count(), right.count())) or skew.join_apart(left, right, key, step))
+    found = winnowing.shared_passages(documents(*rows), benchmark)
+    got = sorted(((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in found.collect()), key=str)
+    assert got == slow_shared(rows, items) and extended is winnowing._extended
+    windows = sum(max(0, len(t.split()) - n + 1) for _, t in rows for n in {min(10, len(t.split())) for _, t in items})
+    assert sent[0][0] < 0.7 * windows
+    assert sent[0][1] < sum(max(1, len(t.split()) - 9) for _, t in items)
+    # a word of thirty items is one row per document and place
+    assert max(collections.Counter(r["items"][0] for r in found.collect() if r["items"]).values()) <= len(rows)
+
+
+def test_first_least():
+    values = np.array([5, 3, 3, 9, 1, 1, 7, 2], np.uint64)
+    for size in range(1, 8):
+        expected = [i + int(np.argmin(values[i : i + size])) for i in range(len(values))]
+        assert winnowing._first_least(values, size).tolist() == expected
