@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: The first round takes words of less than so many times the least count; while a
 #: language lacks phrases, each round takes words so many times as frequent.
 FIRST, FURTHER = 8, 64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: These characters, and line ends, end a piece.
 _PIECE_ENDS = np.zeros(256, bool)
@@ -53,13 +53,9 @@ class Phrases:
         seed = np.array([seeds[x] for x in langs], np.uint64)
         self.text = words.text
         self.hashes = W.scatter(words.hashes() ^ seed[words.text]) if len(words.text) else words.hashes()
-        ends = np.cumsum(_PIECE_ENDS[words.data])
+        ends = np.cumsum(_PIECE_ENDS[words.data], dtype=np.int32)
         self.piece = ends[words.start] + words.text if len(words.start) else words.start
-        # the words in a row, with one space after each
-        sizes = words.end - words.start + 1
-        self.at = np.concatenate(([0], np.cumsum(sizes)))
-        self.data = words.data[spread(words.start, sizes)].copy()
-        self.data[self.at[1:] - 1] = 0x20
+        self.data, self.start, self.sizes = words.data, words.start, words.end - words.start
 
     def fits(self, size: int) -> np.ndarray:
         """Places from which `size` words of one piece go on."""
@@ -75,10 +71,17 @@ class Phrases:
         """(lang, phrase, f) of the phrases at the places, each once."""
         _, first, many = np.unique(self.joined(size)[places], return_index=True, return_counts=True)
         starts = places[first]
-        sizes = self.at[starts + size] - 1 - self.at[starts]
-        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        text = np.ascontiguousarray(self.data[spread(self.at[starts], sizes)])
-        phrases = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(text)])
+        # each word with the byte after it, which becomes one space between words
+        words = spread(starts, np.full(len(starts), size))
+        sizes = self.sizes[words] + 1
+        text = self.data[spread(self.start[words], sizes)]
+        ends = np.cumsum(sizes)
+        text[ends - 1] = 0x20
+        inside = np.ones(len(text), bool)
+        inside[ends[size - 1 :: size] - 1] = False
+        text = np.ascontiguousarray(text[inside])
+        edges = np.concatenate(([0], ends[size - 1 :: size] - np.arange(1, len(starts) + 1))).astype(np.int32)
+        phrases = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(text)])
         langs = pa.array(self.langs).take(pa.array(self.text[starts]))
         return pa.RecordBatch.from_arrays([langs, phrases, pa.array(many)], ["lang", "phrase", "f"])
 
