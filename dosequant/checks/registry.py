@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dosequant import operators as ops, plans
 from dosequant.checks.testmap import relation
 from dosequant.functions import dose_from_name, run_date_label, strength_from_name
+from dosequant.sources.shared import written
 
 LINK_HOST = "https://example.org"
 LINK_PREFIXES = ("The", "the")
@@ -131,7 +132,9 @@ def first_non_null(i: Inputs) -> DataFrame:
 
 
 def practice_usage(i: Inputs) -> DataFrame:
-    return ops.practice_usage(i.relation("prescribing"), i.presentations())
+    # with its size known, the small table is broadcast from the start
+    figures = written(i.presentations().select("bnf_code", "adq_per_quantity"), "figures")
+    return ops.practice_usage(i.relation("prescribing"), figures)
 
 
 def links(i: Inputs) -> DataFrame:

@@ -46,7 +46,9 @@ def practice_usage(
 
     `presentations` holds one row per code with its adq_per_quantity. Rows whose
     code it lacks, or has no figure for, or whose quantity or items are missing,
-    are counted in n_uncomputed.
+    are counted in n_uncomputed. Give it as a written table, as `Release` does: Spark
+    then knows its size when planning, and if it fits a broadcast the reduced rows
+    are not shuffled for the join.
 
     The table is reduced to one row per practice and code before its first
     shuffle; quantities are whole numbers, so their sums are exact, and a sum

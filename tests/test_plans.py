@@ -37,6 +37,13 @@ def test_no_python_and_no_cross_join(spark, name):
         assert operator not in plan
 
 
+def test_usage_is_shuffled_by_code_and_by_practice_only(spark):
+    """The figures are written first, so the reduced rows need no shuffle for the join."""
+    plan = planned(QUERIES["practice_usage"](spark, SMALL))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
 def test_only_first_rows_are_shuffled(spark):
     plan = planned(QUERIES["representative_presentation"](spark, SMALL))
     assert plan.count("WindowGroupLimit") == 2
