@@ -1,32 +1,5 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from dosequant.sources.shared import shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set
-    and driver and executors are one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table below the shared folder and read again.
-
-    Later steps neither compute it again nor depend on executors staying alive.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]

@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dosequant.llm import words as W
 from dosequant.llm.arrays import runs, spread
 from dosequant.llm.columns import packed, unpacked
+from dosequant.llm.rows import row_id
 from dosequant.llm.sketch import estimate
+from dosequant.operators.skew import join_apart
 
 SIZE, QGRAM = 200, 32
 #: Bytes of segments and of single starts that a batch holds before it sends them.
@@ -437,10 +439,10 @@ def remove_repeated_bytes(
     those and the text, repeated rows that is, have the same outcome.
     """
     columns = [c for c in df.columns if c != text]
-    rows = packed(df, text, row=F.xxhash64(*[F.col(f"`{c}`") for c in key], F.col(f"`{text}`")))
+    rows = packed(df, text, row=row_id(df, [*key, text]))
     found = equal_byte_runs(rows.select("row", "text"), size, qgram)
     found = found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    joined = rows.join(found, "row", "left").select("_input", "text", "_runs")
+    joined = join_apart(rows, found, "row", "cut", "left").select("_input", "text", "_runs")
     rest = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
     schema = T.StructType(
         [rows.schema["_input"], T.StructField("n_bytes", T.LongType()),

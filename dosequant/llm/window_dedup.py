@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dosequant.llm import words as W
 from dosequant.llm.arrays import runs, spread
 from dosequant.llm.columns import packed, unpacked
+from dosequant.llm.rows import row_id
 from dosequant.llm.sketch import Estimate, estimate
+from dosequant.operators.skew import join_apart
 
 WINDOW, GRAM = 13, 5
 _LAST = np.iinfo(np.int64).max
@@ -218,12 +220,12 @@ def remove_repeated_windows(
     texts have no words.
     """
     columns = [c for c in df.columns if c != text]
-    row = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    row = row_id(df, [doc_id, text])
     doc = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST))
     rows = packed(df, text, row=row, doc=doc)
     found = repeated_windows(rows.select("doc", "row", "text"), window, gram)
     found = found.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    joined = rows.join(found, "row", "left").select("_input", "text", "_runs")
+    joined = join_apart(rows, found, "row", "cut", "left").select("_input", "text", "_runs")
     schema = T.StructType(
         [rows.schema["_input"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
          T.StructField("removed", T._parse_datatype_string("array<struct<from:int,to:int>>")),
