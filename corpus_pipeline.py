@@ -8,7 +8,7 @@ if a later stage would cut the repeated bytes from all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosequant.llm import (
     labelled,
@@ -18,6 +18,7 @@ from dosequant.llm import (
     unigram,
     winnowing,
 )
+from dosequant.llm.rows import row_id
 from dosequant.llm.storage import written
 
 
@@ -39,7 +40,9 @@ def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble takes for good; null texts count as empty."""
+    """Documents that the rule ensemble takes for good. Null and empty texts are scored
+    as texts without words; rows without an id or repeated are scored each. Of an empty
+    table, or without labels, all rows stay."""
     training = labelled.training_rows(docs, _table(spark, sf_dir, "labels"), "quality")
     scored = rule_ensemble.score_quality(_packed(docs), rule_ensemble.fit(training))
     # a filter on the number stays above the statistics, each of which it would
@@ -56,14 +59,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     short = F.coalesce(F.octet_length("text") < suffix_dedup.SIZE, F.lit(True))
     rank = F.when(F.col("doc_id").isNotNull(), 0).when(~short, 1).otherwise(2)
-    row = F.xxhash64("doc_id", "text")
+    row = row_id(docs, ["doc_id", "text"])
     named = docs.select(F.struct(rank.alias("rank"), "doc_id", row.alias("row")).alias("_id"), "text")
     groups = simhash.near_duplicates(named, doc_id="_id")
     least = groups.where("_id.rank < 2 AND _id.row = component_id.row").select(F.col("_id.row").alias("_row")).distinct()
     packed = _packed(docs).withColumn("_rank", rank).withColumn("_row", row)
-    once = Window.partitionBy("_row").orderBy("_rank")
-    kept = packed.where("_rank < 2").join(least, "_row", "left_semi")
-    kept = kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    # of rows alike in id and text each task passes on one
+    kept = packed.where("_rank < 2").join(least, "_row", "left_semi").dropDuplicates(["_row"])
     nameless = packed.where("_rank = 2")
     return kept.select("_document.*").unionByName(nameless.select("_document.*"))
 
@@ -77,8 +79,9 @@ def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
-    keyed = _packed(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
+    """Documents that share no passage with the benchmark. Null and empty texts share
+    none and stay, as do all with an empty benchmark; repeated rows are judged alike."""
+    keyed = _packed(docs).withColumn("_key", row_id(docs, ["doc_id", "text"]))
     shared = winnowing.shared_passages(
         keyed.select("_key", "text"), _table(spark, sf_dir, "benchmark"), doc_id="_key"
     )
@@ -87,7 +90,8 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, their number, and the text decoded from them."""
+    """Token ids of each document, their number, and the text decoded from them. A null
+    text becomes an empty one, without ids; columns `ids` and `n_ids` give way."""
     packed = _packed(docs).select("text", "_document")
     coded = unigram.with_ids(packed, unigram.Vocabulary.load(), decoded="_decoded")
     columns = [c for c in docs.columns if c not in ("ids", "n_ids")]
