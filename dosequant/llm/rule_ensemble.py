@@ -147,7 +147,12 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
 
 
 def score_quality(df: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
-    """`df` with `score` (0 to 1, higher is better) and `predicted` (1 from 0.5 on)."""
+    """`df` with `score` (0 to 1, higher is better) and `predicted` (1 from 0.5 on).
+
+    Null and empty texts, and those of white space, have statistics of 0 and are scored
+    by them. Columns named `score` or `predicted` give way, all others go along,
+    whatever their names; repeated rows are scored each. An empty table has no rows.
+    """
     columns = [c for c in df.columns if c != text]
     scored = (
         statistics(packed(df, text).withColumnRenamed("text", "_whole"), "_whole")

@@ -233,7 +233,9 @@ def near_duplicates(
 
     Rows with equal fingerprints are linked; null and empty texts have fingerprint 0.
     Rows without an id belong to groups but never name them; a group without any id
-    has a null component_id.
+    has a null component_id. Repeated rows are returned as often; other columns, what-
+    ever their names, are neither read nor returned. A text is one row of one task from
+    its words to its fingerprint, so its length is bounded by a task's memory only.
     """
     rows = written(
         with_fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", shingle),

@@ -225,6 +225,10 @@ def with_ids(
     """`df` with `ids`, the piece ids of each text, and if asked for with the text
     decoded from them. Null and empty texts have no ids and decode to empty texts.
 
+    Columns of `df` that are named like `ids` or `decoded` give way; all others go
+    along, and repeated rows are coded each. Of ways to cut a text with the same total
+    score the one with the longer last piece is taken, so equal texts have equal ids. A
+    word is segmented as a whole and held with a few numbers for each of its letters.
     The vocabulary is broadcast; its size is that of a tokenizer, whatever the input.
     """
     spark = df.sparkSession
