@@ -9,7 +9,6 @@ a projection without shuffle or user function.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -67,21 +66,20 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_stats", struct).drop("_text", "_words", "_joined", "_lines")
 
 
-def tree_paths(debug_string: str) -> list[Bounds]:
-    """All paths from the root of a printed tree, as bounds on features."""
-    found, path = [], []
-    for line in debug_string.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
-        if not m:
+def tree_paths(root) -> list[Bounds]:
+    """All paths from the root of a tree, as bounds on features; `root` is the node
+    that a fitted tree model has on the JVM."""
+    found, todo = [], [(root, {})]
+    while todo:
+        node, bounds = todo.pop()
+        if bounds:
+            found.append(tuple((f, *bounds[f]) for f in sorted(bounds)))
+        if node.getClass().getSimpleName() != "InternalNode":
             continue
-        depth = len(m[1])
-        path = [x for x in path if x[0] < depth]
-        path.append((depth, int(m[2]), m[3], float(m[4])))
-        bounds: dict[int, tuple[float, float]] = {}
-        for _, feature, side, at in path:
-            low, high = bounds.get(feature, (-math.inf, math.inf))
-            bounds[feature] = (low, min(high, at)) if side == "<=" else (max(low, at), high)
-        found.append(tuple((f, *bounds[f]) for f in sorted(bounds)))
+        feature, at = node.split().featureIndex(), node.split().threshold()
+        low, high = bounds.get(feature, (-math.inf, math.inf))
+        todo.append((node.rightChild(), bounds | {feature: (max(low, at), high)}))
+        todo.append((node.leftChild(), bounds | {feature: (low, min(high, at))}))
     return found
 
 
@@ -128,7 +126,7 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
             numTrees=trees, maxDepth=depth, maxBins=64, seed=SEED, subsamplingRate=0.7,
             featureSubsetStrategy="onethird",
         ).fit(vectors.transform(rows))
-        paths = sorted({p for tree in forest.trees for p in tree_paths(tree.toDebugString)})
+        paths = sorted({p for tree in forest.trees for p in tree_paths(tree._call_java("rootNode"))})
         if not paths:
             share = ones / n
             return RuleEnsemble(math.log(share / (1 - share)), ())

@@ -9,6 +9,8 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from dosequant.llm import (
@@ -68,16 +70,30 @@ def test_each_rule_decides(spark, documents):
 
 
 def test_rule_paths_and_their_sql(spark):
-    tree = (
-        "Tree\n  If (feature 0 <= 1.5)\n   If (feature 2 <= 0.25)\n    Predict: 0.0\n"
-        "   Else (feature 2 > 0.25)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   If (feature 0 <= 9.0)\n"
-        "    Predict: 1.0\n   Else (feature 0 > 9.0)\n    Predict: 0.0\n"
-    )
-    paths = rule_ensemble.tree_paths(tree)
-    inf = float("inf")
-    assert paths == [((0, -inf, 1.5),), ((0, -inf, 1.5), (2, -inf, 0.25)), ((0, -inf, 1.5), (2, 0.25, inf)),
-                     ((0, 1.5, inf),), ((0, 1.5, 9.0),), ((0, 9.0, inf),)]
-    assert rule_ensemble.rule_sql(paths[4]) == "_stats.n_words > 1.5D AND _stats.n_words <= 9.0D"
+    """The paths of a fitted tree: all rows that reach a node, and no others, keep its bounds."""
+    rng = random.Random(1)
+    n = len(rule_ensemble.STATISTICS)
+    rows = [[rng.randrange(8) / 4 for _ in range(n)] for _ in range(300)]
+    data = spark.createDataFrame([(float(r[0] > 1 and r[2] <= 0.75 or r[1] > 1.5), r) for r in rows], "label double, x array<double>")
+    vectors = data.select("label", array_to_vector("x").alias("features"))
+    tree = DecisionTreeClassifier(maxDepth=3, seed=1).fit(vectors)
+    paths = rule_ensemble.tree_paths(tree._call_java("rootNode"))
+    assert len(paths) == tree.numNodes - 1 and len(set(paths)) == len(paths)
+    inside = lambda r, path: all(low < r[f] <= high for f, low, high in path)
+    leaves = [p for p in paths if not any(q != p and len(paths) > 1 and all(inside(r, p) for r in rows if inside(r, q)) and any(inside(r, q) for r in rows) for q in paths)]
+    for r in rows:
+        assert sum(inside(r, p) for p in leaves) == 1
+    stats = F.struct(*[F.get("x", F.lit(i)).alias(name) for i, name in enumerate(rule_ensemble.STATISTICS)])
+    fired = data.select("x", stats.alias("_stats")).select("x", *[F.expr(rule_ensemble.rule_sql(p)).alias(f"p{i}") for i, p in enumerate(paths)])
+    for row in fired.collect():
+        assert [row[f"p{i}"] for i in range(len(paths))] == [inside(row.x, p) for p in paths]
+    assert rule_ensemble.rule_sql(((0, 1.5, 9.0),)) == "_stats.n_words > 1.5D AND _stats.n_words <= 9.0D"
+
+
+def plain_quality(model, stats):
+    """The sum of the weights of the rules that hold."""
+    total = model.intercept + sum(w for rule, w in model.rules if all(low < stats[f] <= high for f, low, high in rule))
+    return 1 / (1 + math.exp(-total))
 
 
 def labelled_corpus(documents, spark, n=240):
@@ -105,6 +121,9 @@ def test_classifiers_on_held_out_rows(spark, documents, clashing):
     assert model.rules
     found = rule_ensemble.score_quality(clashing(docs), model).join(labels, "doc_id").where(held_out)
     assert found.where("predicted <> quality").count() == 0
+    scored = {r.doc_id: r.score for r in rule_ensemble.score_quality(docs, model).collect()}
+    for r in rule_ensemble.statistics(docs).select("doc_id", "_stats").collect():
+        assert scored[r.doc_id] == pytest.approx(plain_quality(model, r["_stats"]))
     lexicon = toxicity.fit(labelled.training_rows(docs, labels, "toxic"))
     assert " vile" in dict(lexicon.entries)
     scored = toxicity.score_toxicity(clashing(docs), lexicon)
