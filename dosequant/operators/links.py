@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dosequant.fixed_values import MONTH_PREFIXES, SHEET_EXTENSION
-from dosequant.functions.text import file_name_of_url, sql_text
+from dosequant.functions.text import file_name_of_url
 
 # What a parser would not see as links. What is never closed goes on to the end.
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
@@ -50,32 +50,34 @@ def decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, spelled), "")).otherwise(text)
 
 
-def own_text(content: str) -> Column:
+def own_text(content: Column) -> Column:
     """The first text directly in an element, from its content: not in one within it.
 
     Reads tag after tag with the names of the elements that are open, so elements of
     one kind within each other are told apart. An end tag closes the last element of
     its name and all in it; one without such an element is passed over.
     """
-    name = "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1))"
-    void = ", ".join(f"'{tag}'" for tag in VOID)
-    state = lambda open_, text, done: f"named_struct('open', {open_}, 'text', {text}, 'done', {done})"
-    still = f"{name} IN ({void}) OR t LIKE '%/>'"
-    closed = f"slice(s.open, 1, size(s.open) - cast(array_position(reverse(s.open), {name}) AS int))"
-    return F.expr(
-        f"""aggregate(
-          regexp_extract_all({content}, {sql_text(TOKEN)}, 0),
-          {state("cast(array() AS array<string>)", "''", "false")},
-          (s, t) -> CASE
-            WHEN s.done THEN s
-            WHEN rlike(t, '^<[a-zA-Z]') THEN {state(f"IF({still}, s.open, array_append(s.open, {name}))", "s.text", "s.text <> ''")}
-            WHEN rlike(t, '^</') THEN {state(f"IF(array_contains(s.open, {name}), {closed}, s.open)", "s.text", "s.text <> ''")}
-            WHEN rlike(t, '^<[!?]') THEN {state("s.open", "s.text", "s.text <> ''")}
-            WHEN size(s.open) = 0 THEN {state("s.open", "concat(s.text, t)", "false")}
-            ELSE s
-          END,
-          s -> s.text)"""
-    )
+
+    def state(names: Column, text: Column, done: Column) -> Column:
+        return F.struct(names.alias("open"), text.alias("text"), done.alias("done"))
+
+    def step(s: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, "^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
+        empty = name.isin(*VOID) | token.endswith("/>")
+        left = F.size(s["open"]) - F.array_position(F.reverse(s["open"]), name).cast("int")
+        found = s["text"] != ""
+        return (
+            F.when(s["done"], s)
+            .when(token.rlike("^<[a-zA-Z]"), state(F.when(empty, s["open"]).otherwise(F.array_append(s["open"], name)), s["text"], found))
+            .when(token.rlike("^</"), state(F.when(F.array_contains(s["open"], name), F.slice(s["open"], 1, left)).otherwise(s["open"]), s["text"], found))
+            .when(token.rlike("^<[!?]"), state(s["open"], s["text"], found))
+            .when(F.size(s["open"]) == 0, state(s["open"], F.concat(s["text"], token), F.lit(False)))
+            .otherwise(s)
+        )
+
+    tokens = F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(False))
+    return F.aggregate(tokens, start, step, lambda s: s["text"])
 
 
 def page_links(
@@ -87,35 +89,32 @@ def page_links(
     """Links whose text begins with one of `prefixes` and whose address holds
     `contains`; addresses not beginning with http get `host` in front.
 
-    A link's text is the first text directly in it, see `own_text`.
+    A link's text is the first text directly in it, see `own_text`. Links are chosen
+    within their page, by address first, so that each text is read once at most.
     """
     content = F.regexp_replace(F.regexp_replace("html", COMMENT, NO_TEXT), NOT_CONTENT, "")
-    attributes = F.regexp_extract("anchor", ANCHOR, 1)
-    inside = F.regexp_extract("anchor", ANCHOR, 2)
-    href = F.concat(*[F.regexp_extract("attributes", HREF, i) for i in (1, 2, 3)])
-    begins = F.lit(False)
-    for prefix in prefixes:
-        begins = begins | F.col("link_text").startswith(prefix)
-    return (
-        pages.select(
-            "page_id",
-            F.explode(F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(0))).alias(
-                "anchor"
-            ),
-        )
-        .select(
-            "page_id", inside.alias("inside"), attributes.alias("attributes"),
-        )
-        .select("page_id", decoded(own_text("inside")).alias("link_text"), "attributes")
-        .select("page_id", "link_text", decoded(href).alias("href"))
-        .where(begins & F.col("href").contains(contains))
-        .select(
-            "page_id",
-            "link_text",
-            F.when(F.col("href").startswith("http"), F.col("href"))
-            .otherwise(F.concat(F.lit(host), F.col("href")))
-            .alias("url"),
-        )
+    anchors = F.regexp_extract_all(content, F.lit(ANCHOR), F.lit(0))
+
+    def address(anchor: Column) -> Column:
+        attributes = F.regexp_extract(anchor, ANCHOR, 1)
+        href = F.concat(*[F.regexp_extract(attributes, HREF, i) for i in (1, 2, 3)])
+        return F.struct(decoded(href).alias("href"), anchor.alias("anchor"))
+
+    def named(link: Column) -> Column:
+        text = decoded(own_text(F.regexp_extract(link["anchor"], ANCHOR, 2)))
+        return F.struct(text.alias("link_text"), link["href"].alias("href"))
+
+    def begins(link: Column) -> Column:
+        return F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(link["link_text"], p))
+
+    addressed = F.filter(F.transform(anchors, address), lambda x: F.contains(x["href"], F.lit(contains)))
+    links = F.filter(F.transform(addressed, named), begins)
+    return pages.select("page_id", F.explode(links).alias("link")).select(
+        "page_id",
+        "link.link_text",
+        F.when(F.col("link.href").startswith("http"), F.col("link.href"))
+        .otherwise(F.concat(F.lit(host), F.col("link.href")))
+        .alias("url"),
     )
 
 
