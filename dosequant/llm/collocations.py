@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,7 +35,7 @@ UNKNOWN = "und"
 #: The first round takes words of less than so many times the least count; while a
 #: language lacks phrases, each round takes words so many times as frequent.
 FIRST, FURTHER = 8, 64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: These characters, and line ends, end a piece.
 _PIECE_ENDS = np.zeros(256, bool)
@@ -87,9 +88,19 @@ class Phrases:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[Phrases]:
-    for batch, texts in W.chunks(batches, text, CHUNK_BYTES):
-        langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-        yield Phrases(texts, langs)
+    """The words of the batches, part by part of about CHUNK_BYTES; only one part is
+    held beside the batch, and what Arrow keeps of earlier ones is given back."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        langs = batch.column(batch.schema.get_field_index("lang"))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+            yield Phrases(texts.slice(start, end - start).to_pylist(), langs.slice(start, end - start).to_pylist())
+            start = end
+        pa.default_memory_pool().release_unused()
 
 
 _COUNTED = "lang string, phrase string, f long"
